@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetflow.llm import decontaminate, minhash, packing, substring, token_output
+from streetflow.llm import decontaminate, minhash, packing, quality, substring, token_output
+from streetflow.llm.shared import on_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
@@ -31,5 +37,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_decontamination, op7_minhash_dedup, op9_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op5_decontamination, op7_minhash_dedup, op9_token_output, op10_packing)}
 ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}

@@ -40,6 +40,7 @@ class Group:
     def __init__(self, t: pa.Table, window: int):
         self.window = window
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.table = t
         self.doc_id = t["doc_id"].combine_chunks()
         self.ids = np.asarray(self.doc_id.fill_null(NO_ID))
         buf, offs = T.text_bytes(t["text"])
@@ -134,13 +135,13 @@ def by_bytes(raw: bytes, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.
     return np.fromiter((best[s] for s in spans), np.int64, len(spans))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, group_mb: int = 8) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with `texts` also kept_text and removed, the word ranges
-    [from, to) that go."""
+def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: tuple[str, ...] = (), group_mb: int = 8) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with `texts` also kept_text (the text as it is, where no word
+    goes) and removed, the word ranges [from, to) that go; and the columns `keep` of docs."""
     buckets = max(shuffle_partitions(docs.sparkSession), group_count(docs, group_mb) // 2)
     groups = group_count(docs, group_mb)
     parts = shuffle_partitions(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(parts, "grp")
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
@@ -184,6 +185,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, group_mb:
         return pa.table({"grp": pa.array(out["grp"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "block": pa.array(out["block"], pa.binary())})
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<array<int>>" * texts
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def merge(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         g = Group(t, window)
@@ -208,15 +210,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, group_mb:
         left = [raw[i : max(i, j - 1)] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         out = {"doc_id": g.doc_id, "n_words": pa.array(g.n_words), "n_removed": pa.array(np.diff(gone_before[g.first])), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]}
         if texts:
-            out["kept_text"] = [x.decode() for x in left]
+            same = (np.diff(gone_before[g.first]) == 0).tolist()
+            out["kept_text"] = pa.array([old if whole else new.decode() for old, new, whole in zip(g.table["text"].to_pylist(), left, same, strict=True)], pa.string())
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            out["removed"] = spans(edge[::2], edge[1::2], g.first)
-        return pa.table(out)
+            out["removed"] = pa.array(spans(edge[::2], edge[1::2], g.first), pa.list_(pa.list_(pa.int32())))
+        return pa.table(out | {c: g.table[f"keep_{c}"] for c in keep})
 
-    def send_group(key: tuple, t: pa.Table) -> pa.Table:
-        return send(key, t)
-
-    blocks = dealt.groupBy("grp").applyInArrow(send_group, "bucket int, grp int, n int, block binary")
+    blocks = dealt.groupBy("grp").applyInArrow(send, "bucket int, grp int, n int, block binary")
     answers = blocks.groupBy("bucket").applyInArrow(count, "grp int, n int, block binary")
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(merge, schema)
 
