@@ -185,7 +185,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(files or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted((r.file, r.docs, r.tokens) for r in ordered.mapInArrow(write, "file long, docs long, tokens long").toLocalIterator())
+    # a row per file; taken one partition at a time, the files would be written one after another
+    return sorted((r.file, r.docs, r.tokens) for r in ordered.mapInArrow(write, "file long, docs long, tokens long").collect())
 
 
 def read_tokens(spark: SparkSession, folder: str, written: list[tuple[int, int, int]], ids: bool = False) -> DataFrame:
