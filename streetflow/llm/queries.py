@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetflow.llm import decontaminate, minhash, packing, quality, substring, token_output
+from streetflow.llm import decontaminate, embeddings, langid, minhash, packing, quality, substring, token_output, urls
 from streetflow.llm.shared import on_path
 
 
@@ -21,14 +21,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "text_key")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")).drop("mined")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read(spark, sf_dir, "documents"))
 
@@ -37,5 +49,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op5_decontamination, op7_minhash_dedup, op9_token_output, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_substring_dedup, op3_embedding_dedup, op5_decontamination, op6_url_filters, op7_minhash_dedup,
+        op8_language_id, op9_token_output, op10_packing,
+    )
+}
 ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}
