@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetflow.llm import decontaminate, embeddings, langid, minhash, packing, quality, substring, token_output, urls
+from streetflow.llm import decontaminate, embeddings, langid, lm, minhash, packing, quality, substring, token_output, urls
 from streetflow.llm.shared import on_path
 
 
@@ -25,6 +25,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "text_key")
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_substring_dedup, op3_embedding_dedup, op5_decontamination, op6_url_filters, op7_minhash_dedup,
+        op1_quality_classifier, op2_substring_dedup, op3_embedding_dedup, op4_lm_scoring, op5_decontamination, op6_url_filters, op7_minhash_dedup,
         op8_language_id, op9_token_output, op10_packing,
     )
 }
