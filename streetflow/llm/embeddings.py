@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetflow.llm.shared import components, table
+from streetflow.llm.shared import components, forest, table
 
 TABLES, HASHES, PROBES, CHOICES = 6, 2, 4, 4
 BLOCK = 1024
@@ -77,24 +77,6 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, least[np.arange(len(t)), t]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b) make a spanning forest."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := up.get(x, x)) != x:
-            up[x] = x = up.get(p, p)
-        return x
-
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -11,8 +11,10 @@ Documents with equal shingle sets are one class, found by a 128-bit digest, and
 1. each is paired with the key's smallest class only (a star, not all pairs); pairs under the signature threshold are confirmed on
    their texts, and confirmed links make components;
 2. keys whose members are then in more than one component are unresolved. Their members are compared signature by signature, a large
-   key in a grid of blocks so that no task holds more than two blocks; pairs of different components under the threshold go on to be
-   confirmed, and the components of all links are the result. Pairs within a component are not needed for it.
+   key in a grid of blocks so that no task holds more than two blocks. Pairs of different components under the threshold are not
+   listed: a task returns a spanning forest of them, which gives groups within which all of them lie. The texts of a group meet in
+   one task, or in a grid of pairs of blocks, where exact intersections are counted by matrix products; true links are again
+   returned as a forest. The components of all links are the result; pairs within a component are not needed for it.
 
 Words are separated by ASCII white space, A-Z lower-cased; a set holds the distinct shingles of SHINGLE words, or the whole sequence
 where there are fewer. Texts that are null or without words have an empty set and link with nothing. Rows of equal doc_id are one
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import components, table
+from streetflow.llm.shared import components, forest, shuffle_partitions, table
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 7, 6, 2, 16
@@ -39,7 +41,8 @@ SYMBOLS = CHUNKS * WIDTH
 MOST_APART = CHUNKS * (ERRORS + 1) - 1
 #: ids so few are sent to all executors; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
-BLOCK = 512
+#: documents and shingles in a block of a large group
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -176,32 +179,94 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def pairs_within(sizes: np.ndarray, most: int = 200_000):
+    """Index pairs p < q of rows of one group, for groups of the given sizes that follow one another, in pieces."""
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.arange(len(start))
+    after = start + np.repeat(sizes, sizes) - 1 - row
+    ends, lo = np.cumsum(after), 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(ends, (int(ends[lo - 1]) if lo else 0) + most, "right")))
+        yield np.repeat(row[lo:hi], after[lo:hi]), T.ragged(row[lo:hi] + 1, after[lo:hi])
+        lo = hi
+
+
 def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes under one key, in different components and near by size and signature."""
+    """Edges (a, b) whose components hold all pairs of classes that share a key, are in different components of comps, and are near by
+    size and signature: of the pairs found in a task only a spanning forest is returned."""
+    parts = shuffle_partitions(members.sparkSession)
     comp = members.join(comps.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     open_keys = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
     rows = comp.join(open_keys, "key").join(classes.select("id", "n", "sig"), "id")
     side = F.ceil(F.col("many") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), side).cast("int")
-    cells = rows.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), side - 1)))
+    cells = rows.withColumn("x", F.pmod(F.xxhash64("id"), side).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), side - 1)))
     cells = cells.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "c", "n", "sig")
+    # many small cells go together; a cell of two blocks is never divided nor joined with another of its key
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(8 * parts)).cast("int")).repartition(parts, "task")
 
     def compare(t: pa.Table) -> pa.Table:
-        x, i, j = np.asarray(t["x"]), t["i"][0].as_py(), t["j"][0].as_py()
-        ids, c, n = (np.asarray(t[name]) for name in ("id", "c", "n"))
+        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key, i, j, x, ids, c, n = (np.asarray(t[name]) for name in ("key", "i", "j", "x", "id", "c", "n"))
         sig = matrix(t["sig"], np.uint16, SYMBOLS)
-        rows, cols = np.flatnonzero(x == i), np.flatnonzero(x == j)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         a, b = [], []
-        for r in rows.tolist():
-            other = cols[(c[cols] != c[r]) & (100 * np.minimum(n[cols], n[r]) >= percent * np.maximum(n[cols], n[r]))]
-            if i == j:
-                other = other[ids[other] > ids[r]]
-            other = other[apart(sig[other], sig[r]) <= MOST_APART]
-            a += [np.minimum(ids[r], ids[other])]
-            b += [np.maximum(ids[r], ids[other])]
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
-
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        for p, q in pairs_within(np.diff(np.flatnonzero(new), append=len(key))):
+            own = (c[p] != c[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & ((x[p] != x[q]) | (i[p] == j[p]))
+            p, q = p[own], q[own]
+            near_ = apart(sig[p], sig[q]) <= MOST_APART
+            a, b = [*a, ids[p[near_]]], [*b, ids[q[near_]]]
+        a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+        both = np.unique(np.stack([a, b], 1), axis=0)
+        tree = forest(both[:, 0], both[:, 1])
+        return pa.table({"a": both[tree, 0], "b": both[tree, 1]})
+
+    return cells.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
+def confirm_groups(near_edges: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges of a spanning forest of the true links inside the components of near_edges, between different components of comps.
+
+    A component's texts meet in one task, or in a grid of pairs of blocks if it is large; shared shingles are counted by products of
+    0/1 matrices, so no pairs are listed.
+    """
+    groups = components(near_edges)
+    home = table(groups.select(F.col("c").alias("grp"), F.col("v").alias("id")).union(groups.select(F.col("c").alias("grp"), F.col("c").alias("id")).distinct()))
+    known = comps.select(F.col("v").alias("id"), "c")
+    rows = home.join(known, "id", "left").select("grp", "id", F.coalesce("c", "id").alias("c")).join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    side = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("grp").agg(side.alias("side")), "grp")
+    few = home.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    cells = rows.select("grp", "id", "c", F.pmod(F.xxhash64("id"), F.col("side")).cast("int").alias("x"), "side")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(cells) if few else cells, "id")
+    texts = texts.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    texts = texts.select("grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "c", "text")
+
+    def check(t: pa.Table) -> pa.Table:
+        ids, c, x = (np.asarray(t[name]) for name in ("id", "c", "x"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        s, at = shingles(*T.text_bytes(t["text"]), k)
+        size = np.diff(at)
+        doc = np.repeat(np.arange(len(size)), size)
+        _, column, many = np.unique(s, return_inverse=True, return_counts=True)
+        shared = many[column] > 1
+        doc, column = doc[shared], (np.cumsum(many > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        inter = np.zeros((len(size), len(size)), np.float32)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            here = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + width))
+            m = np.zeros((len(size), width), np.float32)
+            m[doc[here], column[here] - lo] = 1
+            inter += m @ m.T
+        linked = 100 * inter >= percent * (size[:, None] + size[None] - inter)
+        linked &= (inter > 0) & (c[:, None] != c[None]) & ((x[:, None] != x[None]) | (i == j))
+        p, q = np.nonzero(np.triu(linked, 1))
+        tree = forest(ids[p], ids[q])
+        return pa.table({"a": ids[p[tree]], "b": ids[q[tree]]})
+
+    return texts.groupBy("grp", "i", "j").applyInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -222,7 +287,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     own = some.join(twice, "doc_id").join(classes.select("dig", "id"), "dig").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = table(links.union(own))
     comps = components(links)
-    more = table(confirm(table(unresolved(members.select("key", "id"), comps, classes, percent)), docs, k, percent))
+    open_edges = table(unresolved(members.select("key", "id"), comps, classes, percent))
+    more = table(confirm_groups(open_edges, comps, docs, classes, k, percent))
     if not more.isEmpty():
         comps = components(links.union(more))
     # a document's class, then the class's component

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,24 @@ def group_count(docs: DataFrame, group_mb: int = 8) -> int:
     return max(2 * shuffle_partitions(docs.sparkSession), -(-2 * size_in_bytes(docs) // (group_mb << 20)))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) make a spanning forest."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := up.get(x, x)) != x:
+            up[x] = x = up.get(p, p)
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b): rows (v, c) with c the smallest vertex that v reaches, for every vertex that isn't its
     own component's smallest.
