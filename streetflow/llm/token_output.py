@@ -30,6 +30,8 @@ from streetflow.llm import tokens
 from streetflow.llm.shared import shared_dir, shuffle_partitions
 
 MAX_BITS, BLOCK, MAGIC = 16, 1024, b"CHT1"
+#: ids coded at once (a multiple of BLOCK) and blocks decoded side by side: they bound a task's memory
+SEGMENT, LANES = 1 << 18, 2048
 NULL_ID = -(1 << 63)
 
 
@@ -73,46 +75,59 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def write_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The code bits of ids and the bit offsets of every BLOCK-th id."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    at = ends - n
-    total = int(ends[-1]) if len(ends) else 0
-    out = np.zeros(total // 64 + 2, np.uint64)
-    if total:
-        word, code = at >> 6, codes[ids]
+    """The code bits of ids and the bit offsets of every BLOCK-th id; every SEGMENT of ids begins a new 64-bit word."""
+    parts, checkpoints, before = [], [], 0
+    for lo in range(0, len(ids), SEGMENT):
+        part = ids[lo : lo + SEGMENT]
+        n = lengths[part].astype(np.int64)
+        ends = np.cumsum(n)
+        at = ends - n
+        out = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
+        word, code = at >> 6, codes[part]
         room = 64 - (at & 63) - n
         head = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[first]] = np.bitwise_or.reduceat(head, first)
         over = np.flatnonzero(room < 0)
         out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes(), at[::BLOCK].astype(np.uint64)
+        parts.append(out.astype(">u8").tobytes())
+        checkpoints.append(at[::BLOCK].astype(np.uint64) + np.uint64(before))
+        before += 64 * len(out)
+    return b"".join(parts), np.concatenate([np.zeros(0, np.uint64), *checkpoints])
 
 
-def read_bits(bits: np.ndarray, checkpoints: np.ndarray, count: int, lengths: np.ndarray) -> np.ndarray:
-    """All ids: each step decodes one id of every block."""
+def decoder(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and code length for each MAX_BITS bits."""
     codes, used = canonical(lengths), np.flatnonzero(lengths)
     order = used[np.argsort(codes[used] << (MAX_BITS - lengths[used]).astype(np.uint64))]
     span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    symbol = np.zeros(1 << MAX_BITS, np.uint32)
-    size = np.zeros(1 << MAX_BITS, np.int64)
+    symbol, size = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.int64)
     filled = int(span.sum())
     symbol[:filled], size[:filled] = np.repeat(order, span), np.repeat(lengths[order], span)
-    blocks = len(checkpoints)
-    out = np.zeros((BLOCK, blocks), np.uint32)
-    pos = checkpoints.astype(np.int64)
-    b = bits.astype(np.uint32)
-    wide = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    last = count - (blocks - 1) * BLOCK
-    for step in range(min(BLOCK, count)):
-        live = pos if step < last else pos[:-1]
-        if not len(live):
-            break
-        code = (wide[live >> 3] >> (8 - (live & 7)).astype(np.uint32)) & 0xFFFF
-        out[step, : len(live)] = symbol[code]
-        live += size[code]
-    return out.T.reshape(-1)[:count]
+    return symbol, size
+
+
+def read_bits(bits: np.ndarray, checkpoints: np.ndarray, count: int, lengths: np.ndarray) -> np.ndarray:
+    """All ids: each step decodes one id of every block of a run of LANES blocks."""
+    symbol, size = decoder(lengths)
+    result = np.zeros(count, np.uint32)
+    for lane in range(0, len(checkpoints), LANES):
+        pos = checkpoints[lane : lane + LANES].astype(np.int64)
+        here = min(count - lane * BLOCK, len(pos) * BLOCK)
+        begin = int(pos[0]) >> 3
+        stop = int(checkpoints[lane + LANES]) // 8 + 4 if lane + LANES < len(checkpoints) else len(bits)
+        b = bits[begin:stop].astype(np.uint32)
+        wide = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        pos -= 8 * begin
+        out = np.zeros((BLOCK, len(pos)), np.uint32)
+        last = here - (len(pos) - 1) * BLOCK
+        for step in range(min(BLOCK, here)):
+            live = pos if step < last else pos[:-1]
+            code = (wide[live >> 3] >> (8 - (live & 7)).astype(np.uint32)) & 0xFFFF
+            out[step, : len(live)] = symbol[code]
+            live += size[code]
+        result[lane * BLOCK : lane * BLOCK + here] = out.T.reshape(-1)[:here]
+    return result
 
 
 def pack_file(doc_ids: np.ndarray, per_doc: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:

@@ -2,7 +2,7 @@
 
 A unit is a piece of text that the tokenizer's own pre-tokenisation would cut at both ends, whatever stands around it, so that
 encoding units one by one gives the ids of the whole text. Units are cut vectorised and looked up by 64-bit hash in a cache which
-lives as long as the Python worker; at MOST_UNITS it starts anew, which bounds its memory and changes nothing in the result.
+lives as long as the Python worker; at MOST_UNITS units, or MOST_PIECES of their pieces, it starts anew, which bounds its memory and changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import regex
 
 from streetflow.llm import text as T
 
-MOST_UNITS = 1_500_000
+MOST_UNITS, MOST_PIECES = 3_000_000, 400_000
 #: fixed values: the published byte-level pre-tokenisation pattern, and the one of the lower-casing word vocabulary
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,7 +115,7 @@ class Encoder:
         self.filled, self.units = self.filled + len(flat), self.units + len(got)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, new)
-        if len(self.pieces) > MOST_UNITS:
+        if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
