@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: estimates from here on stand for an unknown size
+UNKNOWN_SIZE = 1 << 55
+
+
 def on_path(spark: SparkSession) -> None:
     """Python workers look for this package where the driver has it, besides their own path."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -38,8 +42,11 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate: for a table read from files, their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate, for a table read from files their size; where it has none, half the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_SIZE:
+        return size
+    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
