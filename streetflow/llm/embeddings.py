@@ -6,8 +6,8 @@ parameters here a pair at the threshold is missed with a probability below 1e-5
 
 Equal vectors are one class. Only class ids travel to buckets; buckets of one class are dropped; the vectors of the others are
 compared in double precision, a large bucket in a grid of blocks, so that no task holds more than two blocks. A pair counts only in
-the first table and code that it shares, so counts can be summed; a block returns a sum of links by class and the edges of a spanning
-forest, never its pairs.
+the first table and code that it shares, so counts can be summed; a block returns a sum of links by class and its components as stars,
+never its pairs.
 
 Vectors that are null, zero or have null or non-finite components link with nothing, and so do rows without vec_id (their component
 is null and they are kept). Vectors are compared with those of equal length. Rows of equal vec_id are vectors of their own with one
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetflow.llm.shared import components, forest, table
+from streetflow.llm.shared import components, stars, table
 
 TABLES, HASHES, PROBES, CHOICES = 6, 2, 4, 4
 BLOCK = 1024
@@ -142,12 +142,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         p, q = p[own], q[own]
         size, ids = np.asarray(t["size"]), np.asarray(t["id"])
         links = np.bincount(p, size[q], minlength=t.num_rows) + np.bincount(q, size[p], minlength=t.num_rows)
-        some_, tree = np.flatnonzero(links), forest(ids[p], ids[q])
+        some_, (root, rest) = np.flatnonzero(links), stars(ids[p], ids[q])
         return pa.table({
-            "class": pa.concat_arrays([t["class"].combine_chunks().take(pa.array(some_)).cast(pa.string()), pa.nulls(int(tree.sum()), pa.string())]),
-            "links": pa.array(np.concatenate([links[some_], np.zeros(int(tree.sum()))]).astype(np.int64)),
-            "a": pa.array(np.concatenate([np.zeros(len(some_), np.int64), ids[p][tree]])),
-            "b": pa.array(np.concatenate([np.zeros(len(some_), np.int64), ids[q][tree]])),
+            "class": pa.concat_arrays([t["class"].combine_chunks().take(pa.array(some_)).cast(pa.string()), pa.nulls(len(root), pa.string())]),
+            "links": pa.array(np.concatenate([links[some_], np.zeros(len(root))]).astype(np.int64)),
+            "a": pa.array(np.concatenate([np.zeros(len(some_), np.int64), root])),
+            "b": pa.array(np.concatenate([np.zeros(len(some_), np.int64), rest])),
         })
 
     found = table(cells.groupBy(*bucket, "i", "j").applyInArrow(compare, "class string, links long, a long, b long"))

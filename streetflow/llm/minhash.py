@@ -12,9 +12,9 @@ Documents with equal shingle sets are one class, found by a 128-bit digest, and
    their texts, and confirmed links make components;
 2. keys whose members are then in more than one component are unresolved. Their members are compared signature by signature, a large
    key in a grid of blocks so that no task holds more than two blocks. Pairs of different components under the threshold are not
-   listed: a task returns a spanning forest of them, which gives groups within which all of them lie. The texts of a group meet in
+   listed: a task returns their components as stars, which give groups within which all of them lie. The texts of a group meet in
    one task, or in a grid of pairs of blocks, where exact intersections are counted by matrix products; true links are again
-   returned as a forest. The components of all links are the result; pairs within a component are not needed for it.
+   returned as stars. The components of all links are the result; pairs within a component are not needed for it.
 
 Words are separated by ASCII white space, A-Z lower-cased; a set holds the distinct shingles of SHINGLE words, or the whole sequence
 where there are fewer. Texts that are null or without words have an empty set and link with nothing. Rows of equal doc_id are one
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import components, forest, shuffle_partitions, table
+from streetflow.llm.shared import components, shuffle_partitions, stars, table
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 7, 6, 2, 16
@@ -193,7 +193,7 @@ def pairs_within(sizes: np.ndarray, most: int = 200_000):
 
 def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold all pairs of classes that share a key, are in different components of comps, and are near by
-    size and signature: of the pairs found in a task only a spanning forest is returned."""
+    size and signature: of the pairs found in a task only their components are returned, as stars."""
     parts = shuffle_partitions(members.sparkSession)
     comp = members.join(comps.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     open_keys = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
@@ -202,7 +202,7 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame, percent
     cells = rows.withColumn("x", F.pmod(F.xxhash64("id"), side).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), side - 1)))
     cells = cells.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "c", "n", "sig")
     # many small cells go together; a cell of two blocks is never divided nor joined with another of its key
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(8 * parts)).cast("int")).repartition(parts, "task")
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * parts)).cast("int")).repartition(parts, "task")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
@@ -218,14 +218,14 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame, percent
             a, b = [*a, ids[p[near_]]], [*b, ids[q[near_]]]
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
         both = np.unique(np.stack([a, b], 1), axis=0)
-        tree = forest(both[:, 0], both[:, 1])
-        return pa.table({"a": both[tree, 0], "b": both[tree, 1]})
+        a, b = stars(both[:, 0], both[:, 1])
+        return pa.table({"a": a, "b": b})
 
     return cells.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirm_groups(near_edges: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges of a spanning forest of the true links inside the components of near_edges, between different components of comps.
+    """Stars of the true links inside the components of near_edges, between different components of comps.
 
     A component's texts meet in one task, or in a grid of pairs of blocks if it is large; shared shingles are counted by products of
     0/1 matrices, so no pairs are listed.
@@ -263,8 +263,8 @@ def confirm_groups(near_edges: DataFrame, comps: DataFrame, docs: DataFrame, cla
         linked = 100 * inter >= percent * (size[:, None] + size[None] - inter)
         linked &= (inter > 0) & (c[:, None] != c[None]) & ((x[:, None] != x[None]) | (i == j))
         p, q = np.nonzero(np.triu(linked, 1))
-        tree = forest(ids[p], ids[q])
-        return pa.table({"a": ids[p[tree]], "b": ids[q[tree]]})
+        a, b = stars(ids[p], ids[q])
+        return pa.table({"a": a, "b": b})
 
     return texts.groupBy("grp", "i", "j").applyInArrow(check, "a long, b long").distinct()
 

@@ -58,8 +58,9 @@ def group_count(docs: DataFrame, group_mb: int = 8) -> int:
     return max(2 * shuffle_partitions(docs.sparkSession), -(-2 * size_in_bytes(docs) // (group_mb << 20)))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b) make a spanning forest."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges (a, b) as stars: the smallest vertex of each with every other. Tasks that see parts of one large group
+    mostly agree on its smallest vertex, so that their stars fall together."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -67,13 +68,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             up[x] = x = up.get(p, p)
         return x
 
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
         x, y = find(x), find(y)
         if x != y:
             up[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
+    rest = np.array(sorted(up), np.int64)
+    roots = np.array([find(x) for x in rest.tolist()], np.int64)
+    return roots[roots != rest], rest[roots != rest]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
