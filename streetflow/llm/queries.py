@@ -60,4 +60,38 @@ QUERIES = {
         op8_language_id, op9_token_output, op10_packing,
     )
 }
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}
+SUBSTRING_ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT s, min(doc_id) AS least FROM wins GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM wins JOIN firsts USING (s) WHERE least < doc_id),
+left_ AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (doc_id)
+"""
+REACHED = """
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(v, r) AS (SELECT x, x FROM sides UNION SELECT v, y FROM reach JOIN sides ON x = r),
+comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+"""
+EMBEDDING_ORACLE = f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+{REACHED}
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN comp ON v = vec_id LEFT JOIN (SELECT x, count(*) AS n FROM sides GROUP BY x) ON x = vec_id
+"""
+MINHASH_ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_ JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * both_.n >= 75 * (p.n + q.n - both_.n)),
+{REACHED}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN size USING (doc_id) LEFT JOIN comp ON v = d.doc_id
+"""
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_ORACLE,
+    "op3_embedding_dedup": EMBEDDING_ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+    "op7_minhash_dedup": MINHASH_ORACLE,
+}
