@@ -95,6 +95,8 @@ class Trie:
     def build(cls, grams: np.ndarray, values: np.ndarray, width: int) -> Trie:
         """grams: (n, order) ids below width, in lexicographic order, without repeats."""
         n, order = grams.shape
+        if n and int(grams.max()) >= width:
+            raise ValueError(f"an id of {int(grams.max())} in a trie for ids below {width}")
         ids, pointers, parent, before = [], [], np.zeros(n, np.int64), 1
         for k in range(order):
             new = np.ones(n, bool)

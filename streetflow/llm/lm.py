@@ -218,7 +218,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         grams = np.stack([(pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], 1)
         seen = counts > 0
         share = -np.log10(counts[seen] / (c[first][seen] + MASS))
-        trie = Trie.build(grams[seen], np.minimum(np.ceil(share * STEPS), 254), int(grams[:, 1].max(initial=0)) + 1).mapped()
+        trie = Trie.build(grams[seen], np.minimum(np.ceil(share * STEPS), 254), int(grams.max(initial=0)) + 1).mapped()
         got = trie.lookup(grams)[number.reshape(-1)]
         at = np.cumsum([0, *map(len, us)])
         return pa.table({"grp": t["grp"].cast(pa.int32()), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t["shard"].cast(pa.int32()), "n": t["n"].cast(pa.int32()), "block": pa.array([squeeze(got[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})

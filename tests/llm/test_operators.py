@@ -196,6 +196,8 @@ def test_elias_fano():
     grams = np.unique(rng.integers(0, 40, (3000, 3)), axis=0)
     values = rng.integers(0, 255, len(grams))
     trie = eliasfano.Trie.build(grams, values, 40).mapped()
+    with pytest.raises(ValueError):
+        eliasfano.Trie.build(np.array([[9, 1]]), np.zeros(1), 5)
     known = {tuple(g): v for g, v in zip(grams.tolist(), values.tolist(), strict=True)}
     ask = rng.integers(0, 40, (3000, 3))
     assert trie.lookup(ask).tolist() == [known.get(tuple(g), 255) for g in ask.tolist()]
