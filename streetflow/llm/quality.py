@@ -30,6 +30,8 @@ LEXICON_ROWS, TRAIN_ROWS = 20_000, 10_000
 HEURISTICS = (("upper", 0.5), ("symbol", 0.05), ("delimiter", 0.1), ("repeat", 0.2), ("phrase", 0.3), ("shout", 0.1))
 FOLDS = 3
 LABELLERS = {"junk": len(HEURISTICS), "toxic": FOLDS}
+#: bytes of text judged at once
+CHUNK = 1 << 20
 FEATURE_SPACE = np.uint64((1 << 40) - 1)
 #: punctuation of ordinary prose
 PROSE = b".,;:'\"!?-()"
@@ -113,7 +115,7 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int) -> list[np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch, "text"):
+            for chunk in T.chunks(batch, most=CHUNK):
                 buf, offs = T.text_bytes(chunk.column(0))
                 doc, f = word_features(buf, offs)
                 fold = (T.hash_spans(buf, offs[:-1], np.diff(offs)) % np.uint64(FOLDS)).astype(np.int64)
@@ -226,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS,
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch):
+            for chunk in T.chunks(batch, most=CHUNK):
                 buf, offs = T.text_bytes(chunk.column(1))
                 level = levels(buf, offs)
                 doc, f = features(buf, offs, level)
@@ -266,14 +268,14 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROW
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch, "__text"):
+            for chunk in T.chunks(batch, most=CHUNK):
                 buf, offs = T.text_bytes(chunk.column(1))
                 level = levels(buf, offs)
                 doc, f = features(buf, offs, level)
                 p = [scorers[q].score(doc, f, len(level)) for q in ("junk", "toxic")]
-                cols = [chunk.column(0), pa.array(p[0]), pa.array(p[1]), pa.array((p[0] < 0.5) & (p[1] < 0.5)), *chunk.columns[2:]]
+                cols = [chunk.column(0), pa.array(p[0]), pa.array(p[1]), pa.array((p[0] < 0.5) & (p[1] < 0.5)), *(chunk.column(chunk.schema.get_field_index(c)) for c in keep)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "p_junk", "p_toxic", "accepted", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c != "text"))
     schema = "doc_id long, p_junk double, p_toxic double, accepted boolean" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     return rows.mapInArrow(judge, schema)

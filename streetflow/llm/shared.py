@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: estimates from here on stand for an unknown size
 UNKNOWN_SIZE = 1 << 55
 
 
 def on_path(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it, besides their own path."""
+    """Python workers look for this package where the driver has it, besides their own path, and get batches of bounded size."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if int(spark.conf.get(BATCH, "10000")) == 10000:  # Spark's own number; long texts make batches of that many rows large
+        spark.conf.set(BATCH, "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
