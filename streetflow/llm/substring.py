@@ -47,7 +47,7 @@ class Group:
         starts, lens, self.first = T.words(buf, offs)
         self.size = lens + 1
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.buf = np.concatenate([buf[T.ragged(starts, self.size)], np.zeros(16, np.uint8)])
+        self.buf = np.concatenate([T.gather(buf, starts, self.size), np.zeros(16, np.uint8)])
         self.buf[self.at[1:] - 1] = 32
         self.h = T.hash_spans(self.buf, self.at[:-1], lens)
         self.n_words = np.diff(self.first)
@@ -138,9 +138,9 @@ def by_bytes(raw: bytes, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: tuple[str, ...] = (), group_mb: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with `texts` also kept_text (the text as it is, where no word
     goes) and removed, the word ranges [from, to) that go; and the columns `keep` of docs."""
-    buckets = max(shuffle_partitions(docs.sparkSession), group_count(docs, group_mb) // 2)
-    groups = group_count(docs, group_mb)
-    parts = shuffle_partitions(docs.sparkSession)
+    groups, parts = group_count(docs, group_mb), shuffle_partitions(docs.sparkSession)
+    # a bucket's strings have about three times the words of its windows, so buckets are no fewer than groups where these are large
+    buckets = max(parts, groups if groups > 2 * parts else groups // 2)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(parts, "grp")
 
@@ -205,7 +205,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: tupl
         gone = np.cumsum(cover[:-1]) > 0
         gone_before = np.concatenate([[0], np.cumsum(gone)])
         kept = ~gone
-        raw = g.buf[T.ragged(g.at[:-1][kept], g.size[kept])].tobytes()
+        raw = T.gather(g.buf, g.at[:-1][kept], g.size[kept]).tobytes()
         ends = np.concatenate([[0], np.cumsum(np.where(kept, g.size, 0))])[g.first]
         left = [raw[i : max(i, j - 1)] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         out = {"doc_id": g.doc_id, "n_words": pa.array(g.n_words), "n_removed": pa.array(np.diff(gone_before[g.first])), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]}

@@ -102,6 +102,16 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts.astype(np.int64) - (ends - lens), lens)
 
 
+def gather(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """buf[ragged(starts, lens)] with the indices of `step` spans at a time in memory."""
+    ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+    out = np.empty(int(ends[-1]), buf.dtype)
+    for i in range(0, len(starts), step):
+        j = min(i + step, len(starts))
+        out[ends[i] : ends[j]] = buf[ragged(starts[i:j], lens[i:j])]
+    return out
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """A-Z only; other letters stay."""
     up = (buf >= 65) & (buf <= 90)
