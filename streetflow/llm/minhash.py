@@ -43,6 +43,8 @@ MOST_APART = CHUNKS * (ERRORS + 1) - 1
 BROADCAST_IDS = 1_000_000
 #: documents and shingles in a block of a large group
 BLOCK, BLOCK_SHINGLES = 512, 300_000
+#: rows that a task compares: the more keys of a large group it sees, the fewer stars of that group there are in all
+TASK_ROWS = 20_000
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +204,9 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame, percent
     cells = rows.withColumn("x", F.pmod(F.xxhash64("id"), side).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), side - 1)))
     cells = cells.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "c", "n", "sig")
     # many small cells go together; a cell of two blocks is never divided nor joined with another of its key
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * parts)).cast("int")).repartition(parts, "task")
+    cells = table(cells)
+    tasks = max(1, -(-cells.count() // TASK_ROWS))
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).repartition(parts, "task")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
