@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,42 @@ def count_min(column: str, error: float = 0.001, confidence: float = 0.99, seed:
     return F.count_min_sketch(F.col(column), F.lit(error), F.lit(confidence), F.lit(seed))
 
 
+def digest(column: str, j: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.col(column).cast("string"), F.lit(seed), j))
+
+
+def hash_of(digest: Column) -> Column:
+    """A number below 2^32."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def hash_rows(items: DataFrame, column: str, depth: int, seed: int) -> DataFrame:
+    """items with each hash row j, a hash h and a sign of 1 or -1, by md5 of item, seed and j."""
+    rows = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("__m", digest(column, F.col("j"), seed))
+    return rows.withColumn("h", hash_of(F.col("__m"))).withColumn("sign", F.when(F.substring("__m", 9, 1) < "8", 1).otherwise(-1)).drop("__m")
+
+
+def frequencies(items: DataFrame, column: str, error: float = 0.001, doubt: float = 0.01, seed: int = 7, most: int = 15) -> DataFrame:
+    """(item, exact, count_min, multi_bloom, bloom, fast_ams): each item's count and its estimates read back from the sketches.
+
+    The sketches have ceil(e / error) counters in each of ceil(ln(1 / doubt)) hash rows, made odd for the median; the counting Bloom
+    filter has the same number of counters in one vector, where an item counts once in each of its counters. Both Bloom filters' counters
+    stop at `most`, 4 bits, and answer so for all beyond. Null items aren't counted. The sketches are of a fixed size, so they are sent to every executor.
+    """
+    width, depth = math.ceil(math.e / error), math.ceil(math.log(1 / doubt)) // 2 * 2 + 1
+    n = F.count("*")
+    slot, place = (F.col("h") % width).alias("slot"), F.col("h") % (width * depth)
+    stream = items.where(F.col(column).isNotNull()).select(F.col(column).alias("item"))
+    counters = hash_rows(stream, "item", depth, seed).groupBy("j", slot).agg(n.alias("n"), F.sum("sign").alias("s"))
+    asked = hash_rows(stream.groupBy("item").agg(n.alias("exact")), "item", depth, seed).select("item", "exact", "j", "sign", slot, place.alias("place"))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda j: hash_of(digest("item", j, seed)) % (width * depth)))
+    vector = stream.select(F.explode(places).alias("place")).groupBy("place").agg(n.alias("b"))
+    read = asked.join(F.broadcast(counters), ["j", "slot"]).join(F.broadcast(vector), "place")
+    low = F.min("n")
+    middle = F.array_sort(F.collect_list(F.col("sign") * F.col("s")))[depth // 2]
+    return read.groupBy("item", "exact").agg(low.alias("count_min"), F.least(low, F.lit(most)).alias("multi_bloom"), F.least(F.min("b"), F.lit(most)).alias("bloom"), middle.alias("fast_ams"))
+
+
 def distinct_sketch(column: str, precision: int = 14) -> Column:
     return F.hll_sketch_agg(column, F.lit(precision))
 

@@ -858,9 +858,23 @@ def sk2_membership(spark, d):
 
 @query("SELECT count(*) > 0 AS made FROM loc")
 def sk3_sk4_sk7_count_min(spark, d):
+    """Only that Spark's binary sketch is made; frequencies are read back in sk3_sk4_sk7_frequencies."""
     return pts(spark, d).agg((F.length(sketches.count_min("oid")) > 0).alias("made"))
 
 
+DIGEST = "md5(concat(CAST(item AS VARCHAR), '|7|', j))"
+
+
+@query(f""", it AS (SELECT oid AS item, count(*) AS exact FROM loc GROUP BY oid),
+h AS (SELECT item, exact, j, ('0x' || substr({DIGEST}, 1, 8))::BIGINT AS h, CASE WHEN substr({DIGEST}, 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM it, range(0, 5) k(j)),
+c AS (SELECT j, h % 2719 AS slot, sum(exact) AS n, sum(sign * exact) AS s FROM h GROUP BY ALL),
+b AS (SELECT place, sum(exact) AS b FROM (SELECT DISTINCT item, exact, h % 13595 AS place FROM h) GROUP BY place)
+SELECT item, exact, CAST(min(n) AS BIGINT) AS count_min, CAST(least(min(n), 15) AS BIGINT) AS multi_bloom, CAST(least(min(b), 15) AS BIGINT) AS bloom, CAST(list_sort(list(sign * s))[3] AS BIGINT) AS fast_ams
+  FROM h JOIN c ON c.j = h.j AND slot = h % 2719 JOIN b ON place = h % 13595 GROUP BY item, exact""")
+def sk3_sk4_sk7_frequencies(spark, d):
+    return sketches.frequencies(pts(spark, d), "oid")
+
+
 @query("SELECT count(DISTINCT oid) AS exact, true AS close FROM loc")
 def sk5_distinct_objects(spark, d):
     p = pts(spark, d)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from streetflow import queries
+from streetflow.operators import sketches
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +33,17 @@ def test_contributors_of_all_ticks(spark, sf, duck):
             k += 1
     assert got == {k: ",".join(map(str, sorted(v))) for k, v in sets.items()}
     assert len({t % 432000 for t, _ in got}) == 20
+
+
+def test_frequencies_are_read_back(spark):
+    true = {i: 1 + 2000 // (i * i) for i in range(1, 601)}  # skewed: most items come once
+    items = spark.createDataFrame([(i,) for i, n in true.items() for _ in range(n)] + [(None,)], "item long")
+    got = sketches.frequencies(items, "item", 0.01, 0.01).collect()
+    total, f2 = sum(true.values()), sum(n * n for n in true.values())
+    assert {r.item: r.exact for r in got} == true
+    assert all(r.count_min >= r.exact and min(r.exact, 15) <= min(r.multi_bloom, r.bloom) and max(r.multi_bloom, r.bloom) <= 15 for r in got)
+    assert sum(r.count_min > r.exact + 0.01 * total for r in got) <= 0.01 * len(got)
+    assert sum(abs(r.fast_ams - r.exact) > 3 * (f2 / 272) ** 0.5 for r in got) <= 0.01 * len(got)
+    assert any(r.count_min != r.exact for r in got)  # 272 counters for 600 items: an estimate, not a count
+    alone = sketches.frequencies(items.where("item <= 3"), "item").collect()
+    assert all((r.count_min, r.fast_ams) == (r.exact, r.exact) for r in alone)
