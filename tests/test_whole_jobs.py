@@ -47,3 +47,9 @@ def test_frequencies_are_read_back(spark):
     assert any(r.count_min != r.exact for r in got)  # 272 counters for 600 items: an estimate, not a count
     alone = sketches.frequencies(items.where("item <= 3"), "item").collect()
     assert all((r.count_min, r.fast_ams) == (r.exact, r.exact) for r in alone)
+
+
+def test_boxes_of_all_pairs(spark, sf, duck):
+    got = sorted(map(tuple, queries.fn7_boxes(spark, sf).select("a", "b", "meet", "has_center").collect()))
+    whole = queries.ORACLES["fn7_boxes"].replace(" WHERE a.qid % 5 = b.qid % 5", "")
+    assert len(got) == 625 and got == sorted(duck.sql(f"SELECT a, b, meet, has_center FROM ({whole})").fetchall())
