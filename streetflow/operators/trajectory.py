@@ -65,6 +65,13 @@ def assign_roads(points: DataFrame, roads: DataFrame, config: EngineConfig, key:
     return points.join(best, key, "left")
 
 
+def processed(points: DataFrame, kept: DataFrame, config: EngineConfig) -> DataFrame:
+    """Of points with their number rn those that aren't shed: an object's first, and those of objects kept (cycle, oid) at the end of the cycle before."""
+    out = points.withColumn("__before", F.ceil(F.col("t") / config.period) * config.period - config.period)
+    keep = kept.select(F.col("cycle").alias("__before"), "oid", F.lit(True).alias("__keep"))
+    return out.join(small(keep), ["__before", "oid"], "left").where("rn = 1 OR __keep").drop("__before", "__keep")
+
+
 def stored(points: DataFrame, roads: DataFrame, config: EngineConfig, kept: DataFrame | None = None, key: str = "event_id") -> DataFrame:
     """The points that enter the trajectories: an object's first point always; later ones if inside an active road and not above the
     highest speed, and, with a history kept (cycle, oid), if the object was kept at the end of the cycle before."""
@@ -72,11 +79,7 @@ def stored(points: DataFrame, roads: DataFrame, config: EngineConfig, kept: Data
     inside = candidates(s.where("rn > 1").select(key, "x", "y"), roads, config).select(key).distinct()
     out = s.join(inside.withColumn("inside", F.lit(True)), key, "left").where((F.col("rn") == 1) | (F.col("inside") & (F.isnull("v") | (F.col("v") <= MOST_SPEED))))
     out = out.drop("inside")
-    if kept is not None:
-        out = out.withColumn("__before", F.ceil(F.col("t") / config.period) * config.period - config.period)
-        keep = kept.select(F.col("cycle").alias("__before"), "oid", F.lit(True).alias("__keep"))
-        out = out.join(small(keep), ["__before", "oid"], "left").where("rn = 1 OR __keep").drop("__before", "__keep")
-    return out
+    return out if kept is None else processed(out, kept, config)
 
 
 def chance(key: str, seed: int) -> Column:

@@ -90,8 +90,9 @@ def panes(points: DataFrame, slide: int, keep: int) -> DataFrame:
     return own.withColumn("total", F.sum("n").over(w))
 
 
-def telemetry(points: DataFrame, means: DataFrame, period: int, window: int, slide: int) -> DataFrame:
-    """By tick: points in and stored, evicted, all so far, active and new objects, objects with a road, objects in all."""
+def telemetry(points: DataFrame, means: DataFrame, period: int, window: int, slide: int, stored: DataFrame | None = None, processed: DataFrame | None = None) -> DataFrame:
+    """By tick: points in, evicted, all so far, active and new objects, objects with a road, objects in all; with the stored points given
+    also how many of the tick's points were processed and stored. Without shedding all points are processed."""
     cycle = (F.ceil(F.col("t") / period) * period).alias("tick")
     came = points.groupBy(cycle).agg(F.count("*").alias("tuples"))
     # a point leaves at the first tick whose window begins after it
@@ -102,7 +103,8 @@ def telemetry(points: DataFrame, means: DataFrame, period: int, window: int, sli
     profit = means.groupBy("tick").agg(F.countDistinct("oid").alias("profitable"))
     grid = last_tick(points, period).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(period).cast("long"))).alias("tick"))
     out = grid
-    for part in (came, left, new, active, profit):
+    more = [] if stored is None else [p.groupBy(cycle).agg(F.count("*").alias(c)) for p, c in ((points if processed is None else processed, "processed"), (stored, "stored"))]
+    for part in (came, left, new, active, profit, *more):
         out = out.join(part, "tick", "left")
     out = out.na.fill(0)
     so_far = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)

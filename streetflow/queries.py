@@ -433,6 +433,20 @@ def agg7_telemetry(spark, d):
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("tick", "tuples", "evicted", "newbies", "active", "profitable", "so_far", "total")])
 
 
+@query("""SELECT CAST(tick AS BIGINT) AS tick, coalesce(tuples, 0) AS tuples, coalesce(tuples, 0) AS processed, coalesce(stored, 0) AS stored, coalesce(kept_processed, 0) AS kept_processed, coalesce(kept_stored, 0) AS kept_stored FROM grid
+  LEFT JOIN (SELECT ceil(t / 21600) * 21600 AS tick, count(*) AS tuples, count(*) FILTER (rn = 1 OR oid IN (SELECT oid FROM kept)) AS kept_processed FROM sp GROUP BY 1) USING (tick)
+  LEFT JOIN (SELECT ceil(t / 21600) * 21600 AS tick, count(*) AS stored, count(*) FILTER (rn = 1 OR oid IN (SELECT oid FROM kept)) AS kept_stored FROM sto GROUP BY 1) USING (tick)""")
+def agg7_processed_stored(spark, d):
+    """The points processed and stored by tick: of all objects, and when the same hundred are kept all the time."""
+    p, m, s = pts(spark, d), means(spark, d), stored(spark, d)
+    cycles = windows.last_tick(p, PERIOD).select(F.explode(F.sequence(F.lit(-PERIOD).cast("long"), F.col("last"), F.lit(PERIOD).cast("long"))).alias("cycle"))
+    history = cycles.join(F.broadcast(shedding.random(ids(spark, d), 100)))
+    every = windows.telemetry(p, m, PERIOD, RANGE, SLIDE, s)
+    kept = windows.telemetry(p, m, PERIOD, RANGE, SLIDE, trajectory.processed(s, history, CONFIG), trajectory.processed(trajectory.with_previous(p), history, CONFIG))
+    both = every.join(kept.select("tick", F.col("processed").alias("kept_processed"), F.col("stored").alias("kept_stored")), "tick")
+    return both.select(*[F.col(c).cast("long").alias(c) for c in ("tick", "tuples", "processed", "stored", "kept_processed", "kept_stored")])
+
+
 @query("SELECT round(max(n), 6) AS max_load, round(avg(n), 6) AS avg_load FROM (SELECT count(*)::DOUBLE AS n FROM loc GROUP BY ceil(t / 21600))")
 def agg9_loads(spark, d):
     by = pts(spark, d).groupBy(F.ceil(F.col("t") / PERIOD).alias("k")).agg(F.count("*").cast("double").alias("n"))

@@ -5,9 +5,11 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from streetflow import queries
-from streetflow.operators import sketches
+from streetflow.config import EngineConfig
+from streetflow.operators import sketches, trajectory, windows
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +55,17 @@ def test_boxes_of_all_pairs(spark, sf, duck):
     got = sorted(map(tuple, queries.fn7_boxes(spark, sf).select("a", "b", "meet", "has_center").collect()))
     whole = queries.ORACLES["fn7_boxes"].replace(" WHERE a.qid % 5 = b.qid % 5", "")
     assert len(got) == 625 and got == sorted(duck.sql(f"SELECT a, b, meet, has_center FROM ({whole})").fetchall())
+
+
+def test_telemetry_counts_processed_and_stored_points(spark):
+    rows = [(0, 1, 5.0), (1, 1, 10.0), (2, 1, 15.0), (3, 2, 12.0), (4, 2, 18.0), (5, 2, 25.0), (6, 2, 31.0)]
+    p = trajectory.with_previous(spark.createDataFrame([(e, o, t, 0.0, 0.0, 1) for e, o, t in rows], "event_id long, oid long, t double, x double, y double, qid int"))
+    means = windows.object_means(p.withColumn("v", F.lit(1.0)), 10, 20)
+    got = lambda *more: {int(r.tick): (r.tuples, r.processed, r.stored) for r in windows.telemetry(p, means, 10, 20, 10, *more).collect()}
+    stored = p.where("event_id NOT IN (1, 4)")
+    assert got(stored) == {0: (0, 0, 0), 10: (2, 2, 1), 20: (3, 3, 2), 30: (1, 1, 1), 40: (1, 1, 1)}
+    # object 1 is kept at tick 10, object 2 at 30 only
+    history, config = spark.createDataFrame([(10, 1), (30, 2)], "cycle long, oid long"), EngineConfig(period=10)
+    shed = trajectory.processed(p, history, config)
+    assert sorted(r.event_id for r in shed.collect()) == [0, 2, 3, 6]
+    assert got(trajectory.processed(stored, history, config), shed) == {0: (0, 0, 0), 10: (2, 1, 1), 20: (3, 2, 2), 30: (1, 0, 0), 40: (1, 1, 1)}
