@@ -88,9 +88,19 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], accuracy: int =
     return rows.agg(F.percentile_approx(column, shares, accuracy).alias("quantiles"))
 
 
-def distinct_quantiles(rows: DataFrame, key: str, column: str, shares: list[float]) -> DataFrame:
+def distinct_quantiles(rows: DataFrame, key: str, column: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
     """Quantiles that don't count a key twice."""
-    return quantiles(rows.dropDuplicates([key]), column, shares)
+    return quantiles(rows.dropDuplicates([key]), column, shares, accuracy)
+
+
+def distinct_ranks(rows: DataFrame, key: str, column: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(share, value, below, upto, n): each quantile that doesn't count a key twice, how many of the n keys have less and how many at most
+    its value. A key's value is the least of its rows, so that repeated rows change nothing; a key without a value doesn't count."""
+    keys = rows.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(key).agg(F.min(column).alias("v"))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("quantiles").alias("value")))
+    q = distinct_quantiles(keys, key, "v", shares, accuracy).select(each.alias("q")).select("q.share", "q.value")
+    less, most = ((F.col("v") < F.col("value")).cast("long"), (F.col("v") <= F.col("value")).cast("long"))
+    return keys.join(F.broadcast(q)).groupBy("share", "value").agg(F.sum(less).alias("below"), F.sum(most).alias("upto"), F.count("*").alias("n"))
 
 
 def rank(rows: DataFrame, column: str, value: float) -> DataFrame:

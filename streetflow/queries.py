@@ -924,6 +924,19 @@ def sk11_distinct_by_road(spark, d):
 
 @query("SELECT count(DISTINCT oid) AS objects, true AS ordered FROM loc")
 def sk12_distinct_quantiles(spark, d):
+    """Only that the quantiles are in order; their values and ranks are in sk12_distinct_quantile_ranks."""
     p = pts(spark, d)
     q = sketches.distinct_quantiles(p.select("oid", (F.col("oid") * 2.0).alias("v")), "oid", "v", [0.25, 0.75])
     return p.agg(F.countDistinct("oid").alias("objects")).join(F.broadcast(q)).select("objects", (F.col("quantiles")[0] <= F.col("quantiles")[1]).alias("ordered"))
+
+
+@query(""", n AS (SELECT oid, count(*) AS v FROM loc GROUP BY oid), s AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS share)
+SELECT share, CAST(quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9])[row_number() OVER (ORDER BY share)] AS BIGINT) AS value, count(*) AS objects, true AS close FROM n, s GROUP BY share""")
+def sk12_distinct_quantile_ranks(spark, d):
+    """Quantiles over the objects of their numbers of points, read from a stream in which an object comes once for each of its points."""
+    p = pts(spark, d)
+    stream = p.join(p.groupBy("oid").agg(F.count("*").alias("v")), "oid").select("oid", "v")
+    q = sketches.distinct_ranks(stream, "oid", "v", [0.1, 0.25, 0.5, 0.75, 0.9])
+    error, share = 0.0001 * F.col("n") + 1, F.col("share") * F.col("n")
+    close = (F.col("below") - error <= share) & (share <= F.col("upto") + error)
+    return q.select("share", "value", F.col("n").alias("objects"), close.alias("close"))

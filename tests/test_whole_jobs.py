@@ -69,3 +69,14 @@ def test_telemetry_counts_processed_and_stored_points(spark):
     shed = trajectory.processed(p, history, config)
     assert sorted(r.event_id for r in shed.collect()) == [0, 2, 3, 6]
     assert got(trajectory.processed(stored, history, config), shed) == {0: (0, 0, 0), 10: (2, 1, 1), 20: (3, 2, 2), 30: (1, 0, 0), 40: (1, 1, 1)}
+
+
+def test_distinct_quantiles_of_a_skewed_stream(spark):
+    # key k has the value k and comes k * k times: of the rows, most belong to high keys
+    keys = spark.range(1, 101).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    stream = keys.select("k", "v", F.explode(F.sequence(F.lit(1), F.col("k") * F.col("k"))).alias("i")).union(spark.createDataFrame([(None, 1, 1), (500, None, 1)], "k long, v long, i long"))
+    shares = [0.25, 0.5, 0.75]
+    got = {r.share: (r.value, r.below, r.upto, r.n) for r in sketches.distinct_ranks(stream, "k", "v", shares).collect()}
+    assert got == {0.25: (25, 24, 25, 100), 0.5: (50, 49, 50, 100), 0.75: (75, 74, 75, 100)}
+    assert got == {r.share: (r.value, r.below, r.upto, r.n) for r in sketches.distinct_ranks(stream.union(stream), "k", "v", shares).collect()}
+    assert sketches.quantiles(stream, "v", [0.5]).first()[0][0] > 75  # what counting each row would give
