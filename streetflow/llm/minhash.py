@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import components, shuffle_partitions, stars, table
+from streetflow.llm.shared import components, on_path, shuffle_partitions, stars, table, tidy
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 7, 6, 2, 16
@@ -127,7 +127,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 s, at = shingles(*T.text_bytes(chunk.column(1)), k)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(np.diff(at).astype(np.int64)), fixed(digests(s, at)), fixed(signatures(s, at))], ["doc_id", "n", "dig", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, dig binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, dig binary, sig binary")
 
 
 def list_keys(classes: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def list_keys(classes: DataFrame) -> DataFrame:
                 k = keys(matrix(part.column(1), np.uint16, SYMBOLS))
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), k.shape[1]))], ["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(tidy(run), "key long, id long")
 
 
 def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +152,7 @@ def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             close = apart(matrix(batch.column(2), np.uint16, SYMBOLS), matrix(batch.column(3), np.uint16, SYMBOLS)) <= MOST_APART
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(close))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 ok = (100 * inter >= percent * (nx + ny - inter)) & (inter > 0)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def pairs_within(sizes: np.ndarray, most: int = 200_000):
@@ -275,6 +275,7 @@ def confirm_groups(near_edges: DataFrame, comps: DataFrame, docs: DataFrame, cla
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
+    on_path(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_docs = table(sketch(docs, k))
     some = all_docs.where("n > 0 and doc_id is not null")

@@ -7,7 +7,7 @@ labeller speaks and errs, and gives each pattern its posterior. The posteriors o
 question on hashed words and hashed heuristic levels, with an L1 penalty; the scorers judge every document.
 
 Bounded samples, the only ones: LEXICON_ROWS labelled rows for mining words, TRAIN_ROWS documents for fitting the scorers, both taken
-by hash of doc_id. Votes, patterns and scores cover all documents.
+by hash, the second of doc_id and text and, where rows repeat, of twice as many at most. Votes, patterns and scores cover all documents.
 
 Null or empty texts: no votes, no features but the level of length; the scorers judge them as any other. Rows with equal doc_id are
 judged one by one; with several labels for an id the worst counts. A null doc_id has no label. Without labels the toxicity scorer
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
+from streetflow.llm.shared import on_path, table, tidy
 
 LEXICON_ROWS, TRAIN_ROWS = 20_000, 10_000
 HEURISTICS = (("upper", 0.5), ("symbol", 0.05), ("delimiter", 0.1), ("repeat", 0.2), ("phrase", 0.3), ("shout", 0.1))
@@ -130,7 +131,7 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int) -> list[np.ndarray]:
                 take = np.concatenate([some, rest])
                 yield pa.RecordBatch.from_arrays([pa.array(key[take // FOLDS].astype(np.int64)), pa.array(take % FOLDS), pa.array(bad[take]), pa.array(all_[take])], ["f", "fold", "bad", "n"])
 
-    counts = rows_.mapInArrow(count, "f long, fold long, bad long, n long")
+    counts = rows_.mapInArrow(tidy(count), "f long, fold long, bad long, n long")
     but = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("bad", "n")]
     words = counts.groupBy("f").agg(*but)
     toxic = [(F.col(f"bad{k}") >= 3) & (F.col(f"bad{k}") >= 0.95 * F.col(f"n{k}")) for k in range(FOLDS)]
@@ -233,21 +234,18 @@ def train(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS,
                 level = levels(buf, offs)
                 doc, f = features(buf, offs, level)
                 v = votes(level, doc, f, lexicons)
-                salt = T.mix(np.asarray(chunk.column(0).fill_null(-1)).astype(np.uint64) + np.uint64(99)) >> np.uint64(32)
+                salt = T.mix(np.asarray(chunk.column(0).fill_null(-1)).astype(np.uint64) ^ T.hash_spans(buf, offs[:-1], np.diff(offs), 99)) >> np.uint64(32)
                 chosen = salt < np.uint64(bar)
                 ends = np.searchsorted(doc, np.arange(len(level) + 1))
                 size = np.where(chosen, np.diff(ends), 0)
                 kept = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(f[T.ragged(ends[:-1], size)].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(v["junk"]), pa.array(v["toxic"]), pa.array(chosen), kept], ["doc_id", "junk", "toxic", "chosen", "f"])
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(v["junk"]), pa.array(v["toxic"]), pa.array(np.where(chosen, salt, 0).astype(np.int64), mask=~chosen), kept], ["doc_id", "junk", "toxic", "salt", "f"])
 
-    voted = docs.select("doc_id", "text").mapInArrow(vote, "doc_id long, junk long, toxic long, chosen boolean, f array<long>")
-    from streetflow.llm.shared import table
-
-    voted = table(voted)
+    voted = table(docs.select("doc_id", "text").mapInArrow(tidy(vote), "doc_id long, junk long, toxic long, salt long, f array<long>"))
     given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("is_junk"), F.max((F.col("toxic") == 1).cast("int")).alias("is_toxic"))
-    joined = voted.join(given, "doc_id", "left").select("junk", "toxic", F.coalesce("is_junk", F.lit(-1)).alias("is_junk"), F.coalesce("is_toxic", F.lit(-1)).alias("is_toxic"), "chosen", "f")
+    joined = voted.join(given, "doc_id", "left").select("junk", "toxic", F.coalesce("is_junk", F.lit(-1)).alias("is_junk"), F.coalesce("is_toxic", F.lit(-1)).alias("is_toxic"), "salt", "f")
     out = {}
-    sample = joined.where("chosen").toArrow()
+    sample = joined.where("salt is not null").orderBy("salt").limit(2 * train_rows).toArrow()  # repeated rows are chosen together
     sizes = np.asarray(pc.list_value_length(sample["f"])).astype(np.int64)
     doc, f = np.repeat(np.arange(sample.num_rows), sizes), np.asarray(pc.list_flatten(sample["f"])).astype(np.uint64)
     for question, labellers in LABELLERS.items():
@@ -262,6 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS,
 
 def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, p_junk, p_toxic, accepted of each row of docs, with the columns `keep` of docs besides."""
+    on_path(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scorers = train(own, labels.select("doc_id", "quality", "toxic"), lexicon_rows, train_rows)
     extra = docs.select(*keep).schema
@@ -278,4 +277,4 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROW
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c != "text"))
     schema = "doc_id long, p_junk double, p_toxic double, accepted boolean" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(tidy(judge), schema)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: estimates from here on stand for an unknown size
 UNKNOWN_SIZE = 1 << 55
 
@@ -25,6 +27,28 @@ def on_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     if int(spark.conf.get(BATCH, "10000")) == 10000:  # Spark's own number; long texts make batches of that many rows large
         spark.conf.set(BATCH, "2000")
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
+def let_go() -> None:
+    """Gives the memory that this Python worker has freed back to the machine. Workers outlive their tasks, and what one keeps is
+    missing to the next stage of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the worker lets its memory go."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return tidied
 
 
 def shared_dir(spark: SparkSession) -> str:
