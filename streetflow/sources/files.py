@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetflow import schemas
 from streetflow.functions import geometry as G
+from streetflow.storage import table
 
 
 def locations(spark: SparkSession, path: str) -> DataFrame:
@@ -28,13 +29,14 @@ def by_event_time(points: DataFrame, period: float) -> DataFrame:
 def with_rank(points: DataFrame, *order: str) -> DataFrame:
     """rank: each row's place from 1 in the order of the whole input.
 
-    Places come from the counts of range partitions, so that no task sees more than its own partition.
+    Places come from the counts of range partitions, so that no task sees more than its own partition. The partitions are written with
+    their numbers: counted and ranked apart, adaptive execution could cut the same rows in two ways.
     """
-    ranged = points.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranged = table(points.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = ranged.withColumn("__local", local).join(F.broadcast(before.select("__part", "__before")), "__part")
+    placed = ranged.withColumn("__local", local).join(F.broadcast(before), "__part")
     return placed.withColumn("rank", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
 
 
