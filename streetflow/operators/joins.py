@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 #: rows of a narrow table that may be sent to every executor
 BROADCAST_ROWS = 500_000
+#: vertices of polygons that may be
+BROADCAST_VERTICES = 2_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most `most` rows; beyond that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `most` rows; counted once for the same DataFrame."""
+    known = df.__dict__.setdefault("_streetflow_few", {})
+    if most not in known:
+        known[most] = df.limit(most + 1).count() <= most
+    return known[most]
+
+
+def small(df: DataFrame, of: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it, or the table `of` that has no fewer rows, has at most `most`; beyond that Spark joins by shuffle."""
+    return F.broadcast(df) if few(df if of is None else of, most) else df
 
 
 def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, size: float) -> DataFrame:

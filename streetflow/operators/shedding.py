@@ -43,9 +43,17 @@ def without(ids: DataFrame, active: DataFrame) -> DataFrame:
     return ids.join(active.select("oid"), "oid", "left_anti")
 
 
-def reservoir(ids: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """Admission one by one, as in reservoir sampling: a uniform sample of n, here by hash order."""
-    return random(ids, n, seed)
+def admit(new: DataFrame, active: DataFrame, known: int, n: int, seed: int = 7) -> DataFrame:
+    """Admission of new objects (oid, t) in order of arrival to the active ids, as in reservoir sampling: the i-th is the (known + i)-th
+    object of all. While these are fewer than n it is let in. After that it draws a place among all objects; a place of an active id,
+    in order of id, lets it in instead of that one. Draws are hashes, so that all are made at once."""
+    m = active.count()
+    placed = with_rank(new.select("oid", "t"), "t", "oid").withColumn("size", F.col("rank") + known)
+    drawn = placed.withColumn("place", F.floor(chance("oid", seed) * F.col("size"))).withColumn("free", F.col("size") < n)
+    let_in = drawn.where(F.col("free") | (F.col("place") < m))
+    lost = let_in.where(~F.col("free")).select("place").distinct()
+    stays = with_rank(active.select("oid"), "oid").withColumn("place", F.col("rank") - 1).join(lost, "place", "left_anti")
+    return stays.select("oid").union(let_in.select("oid"))
 
 
 def semantic_scores(touched: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def few_objects_threshold(touched: DataFrame, policy: int) -> int:
     if policy < 2:
         raise ValueError(f"policy {policy}")
     rank = crowds.count() // policy
-    return crowds.orderBy("crowd", "qid").limit(rank + 1).agg(F.max("crowd")).first()[0]
+    return with_rank(crowds, "crowd", "qid").where(F.col("rank") == rank + 1).first()["crowd"]
 
 
 def sparse_first(ids: DataFrame, touched: DataFrame, n: int, threshold: int, seed: int = 7) -> DataFrame:
@@ -136,11 +144,29 @@ def combined(scores: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return best.union(random(without(scores.select("oid"), best), n - n // 2, seed))
 
 
+def cell_scores(scores: DataFrame, last: DataFrame, since: float) -> DataFrame:
+    """Scores by cell synopsis; -10 if inactive. last: (oid, t)."""
+    return last.join(scores, "oid", "left").select("oid", F.when(F.col("t") <= since, -10.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
 def random_subset(spark, of: int, k: int, seed: int = 7) -> DataFrame:
     """k of the numbers 1..of."""
     return spark.range(1, of + 1).select(F.col("id").alias("oid")).transform(lambda d: random(d, k, seed)).select(F.col("oid").alias("id"))
 
 
+def sampler_errors(items: DataFrame, k: int, every: int = 100, top: int = 20, seed: int = 7) -> DataFrame:
+    """items: (i, item), i from 0. After each `every` rows, the mean relative error with which a sample of k rows estimates the counts of
+    the `top` most frequent items: (rows, error). An experiment for streams of some thousand rows; each row counts once per step."""
+    last = F.floor(F.max("i") / every).alias("last")
+    steps = items.join(F.broadcast(items.agg(last))).withColumn("step", F.explode(F.sequence(F.floor(F.col("i") / every), F.col("last"))))
+    place = F.row_number().over(Window.partitionBy("step").orderBy(F.md5(F.concat(F.col("i").cast("string"), F.lit(f"|{seed}"))), "i"))
+    counts = steps.withColumn("taken", (place <= k).cast("int")).groupBy("step", "item").agg(F.count("*").alias("exact"), F.sum("taken").alias("taken"))
+    size = Window.partitionBy("step")
+    rated = counts.withColumn("n", F.sum("exact").over(size)).withColumn("place", F.row_number().over(size.orderBy(F.desc("exact"), "item"))).where(F.col("place") <= top)
+    error = F.abs(F.col("taken") * F.col("n") / F.least("n", F.lit(k)) - F.col("exact")) / F.col("exact")
+    return rated.groupBy(((F.col("step") + 1) * every).alias("rows")).agg(F.avg(error).alias("error"))
+
+
 def sample_size(epsilon: float, delta: float) -> int:
     """Rows for frequencies within epsilon with probability 1 - delta."""
     import math

@@ -58,14 +58,40 @@ def frequencies(items: DataFrame, column: str, error: float = 0.001, doubt: floa
     stream = items.where(F.col(column).isNotNull()).select(F.col(column).alias("item"))
     counters = hash_rows(stream, "item", depth, seed).groupBy("j", slot).agg(n.alias("n"), F.sum("sign").alias("s"))
     asked = hash_rows(stream.groupBy("item").agg(n.alias("exact")), "item", depth, seed).select("item", "exact", "j", "sign", slot, place.alias("place"))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda j: hash_of(digest("item", j, seed)) % (width * depth)))
-    vector = stream.select(F.explode(places).alias("place")).groupBy("place").agg(n.alias("b"))
+    vector = stream.select(F.explode(places("item", depth, width * depth, seed)).alias("place")).groupBy("place").agg(n.alias("b"))
     read = asked.join(F.broadcast(counters), ["j", "slot"]).join(F.broadcast(vector), "place")
     low = F.min("n")
     middle = F.array_sort(F.collect_list(F.col("sign") * F.col("s")))[depth // 2]
     return read.groupBy("item", "exact").agg(low.alias("count_min"), F.least(low, F.lit(most)).alias("multi_bloom"), F.least(F.min("b"), F.lit(most)).alias("bloom"), middle.alias("fast_ams"))
 
 
+def places(column: str, depth: int, bits: int, seed: int) -> Column:
+    """The places of an item in a Bloom filter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda j: hash_of(digest(column, j, seed)) % bits))
+
+
+def bloom(items: DataFrame, column: str, bits: int = 8192, depth: int = 5, seed: int = 7) -> DataFrame:
+    """A Bloom filter as its set bits (place), at most `bits` rows: filters merge by union and intersect by intersection of their bits."""
+    return items.where(F.col(column).isNotNull()).select(F.explode(places(column, depth, bits, seed)).alias("place")).distinct()
+
+
+def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.union(b).distinct()
+
+
+def bloom_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The filter of bits in both: it has every common item, and no more than either filter has."""
+    return a.intersect(b)
+
+
+def bloom_contains(items: DataFrame, column: str, filter_: DataFrame, bits: int = 8192, depth: int = 5, seed: int = 7) -> DataFrame:
+    """The distinct items that the filter may have; no item that it was given is missing. The set bits are at most `bits`, hence sent
+    to every executor as one array."""
+    known = filter_.agg(F.sort_array(F.collect_list("place")).alias("known"))
+    asked = items.where(F.col(column).isNotNull()).select(column).distinct()
+    return asked.join(F.broadcast(known)).where(F.size(F.array_except(places(column, depth, bits, seed), "known")) == 0).select(column)
+
+
 def distinct_sketch(column: str, precision: int = 14) -> Column:
     return F.hll_sketch_agg(column, F.lit(precision))
 
@@ -75,6 +101,16 @@ def distinct_estimate(sketches: DataFrame, column: str) -> DataFrame:
     return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg(column)).alias("estimate"))
 
 
+def second_moment_sketch(items: DataFrame, column: str, error: float = 0.001, doubt: float = 0.01, seed: int = 7) -> DataFrame:
+    """One row: exact, the sum of squared counts, and estimate, the median over hash rows of the counters' sums of squares."""
+    width, depth = math.ceil(math.e / error), math.ceil(math.log(1 / doubt)) // 2 * 2 + 1
+    stream = items.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("item")).agg(F.count("*").alias("n"))
+    counters = hash_rows(stream, "item", depth, seed).groupBy("j", (F.col("h") % width).alias("slot")).agg(F.sum(F.col("sign") * F.col("n")).alias("s"))
+    rows = counters.groupBy("j").agg(F.sum(F.col("s") * F.col("s")).alias("f2"))
+    estimate = rows.agg(F.array_sort(F.collect_list("f2"))[depth // 2].alias("estimate"))  # a number per hash row
+    return second_moment(items.where(F.col(column).isNotNull()), column).select(F.col("f2").alias("exact")).join(F.broadcast(estimate))
+
+
 def second_moment(items: DataFrame, column: str) -> DataFrame:
     return items.groupBy(column).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("f2"))
 
@@ -103,8 +139,26 @@ def distinct_ranks(rows: DataFrame, key: str, column: str, shares: list[float],
     return keys.join(F.broadcast(q)).groupBy("share", "value").agg(F.sum(less).alias("below"), F.sum(most).alias("upto"), F.count("*").alias("n"))
 
 
+def digest_of(column: str) -> Column:
+    """A quantile sketch in binary form."""
+    return F.expr(f"kll_sketch_agg_double({column})")
+
+
+def merged(a: str, b: str) -> Column:
+    return F.expr(f"kll_sketch_merge_double({a}, {b})")
+
+
+def rank_of(sketch: str, value: str) -> Column:
+    """The share of rows up to a value."""
+    return F.expr(f"kll_sketch_get_rank_double({sketch}, {value})")
+
+
+def quantiles_of(sketch: str, shares: list[float]) -> Column:
+    return F.expr(f"kll_sketch_get_quantile_double({sketch}, array({', '.join(f'{s}D' for s in shares)}))")
+
+
 def rank(rows: DataFrame, column: str, value: float) -> DataFrame:
-    return rows.agg(F.expr(f"kll_sketch_get_rank_double(kll_sketch_agg_double({column}), {value}D)").alias("rank"))
+    return rows.agg(digest_of(column).alias("s")).select(rank_of("s", f"{value}D").alias("rank"))
 
 
 def median(column: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from streetflow.config import EngineConfig
 from streetflow.functions import geometry as G
-from streetflow.operators.joins import small
+from streetflow.operators.joins import BROADCAST_VERTICES, small
 from streetflow.sources.files import with_rank
 
 MOST_SPEED = 130.0
@@ -52,17 +52,35 @@ def candidates(points: DataFrame, roads: DataFrame, config: EngineConfig) -> Dat
     return placed.join(small(cells), "cell").where(G.in_polygon(F.col("ring"), F.col("x"), F.col("y"))).drop("ring", "cell")
 
 
-def heading_cost() -> Column:
+def with_nearby(points: DataFrame, roads: DataFrame, config: EngineConfig) -> DataFrame:
+    """Each point once, with the array `nearby` of the roads (qid, start, end, ring) whose boxes overlap its cell; null for none. The
+    cells' arrays go to every executor up to a checked number of vertices; beyond, points are shuffled by cell and crowded cells split."""
+    cells = road_cells(roads.select("qid", "start", "end", "ring"), config)
+    vertices = cells.agg(F.coalesce(F.sum(F.size("ring")), F.lit(0))).first()[0]
+    arrays = cells.groupBy(F.col("cell").alias("__cell")).agg(F.collect_list(F.struct("qid", "start", "end", "ring")).alias("nearby"))
+    placed = points.withColumn("__cell", G.cell_of(F.col("x"), F.col("y"), config.universe, config.gran_x, config.gran_y))
+    return placed.join(F.broadcast(arrays) if vertices <= BROADCAST_VERTICES else arrays, "__cell", "left").drop("__cell")
+
+
+def holds(road: Column) -> Column:
+    return G.in_polygon(road["ring"], F.col("x"), F.col("y"))
+
+
+def is_inside() -> Column:
+    """Whether one of the nearby roads holds the point."""
+    return F.coalesce(F.exists("nearby", holds), F.lit(False))
+
+
+def heading_cost(road: Column) -> Column:
     """1 - cosine between a road's direction and the move from the previous point; a point that doesn't move has cost 1."""
-    rx, ry = F.col("road_end")["x"] - F.col("road_start")["x"], F.col("road_end")["y"] - F.col("road_start")["y"]
+    rx, ry = road["end"]["x"] - road["start"]["x"], road["end"]["y"] - road["start"]["y"]
     return 1 - F.coalesce(G.heading_cosine(rx, ry, F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")), F.lit(0.0))
 
 
-def assign_roads(points: DataFrame, roads: DataFrame, config: EngineConfig, key: str = "event_id") -> DataFrame:
+def assign_roads(points: DataFrame, roads: DataFrame, config: EngineConfig) -> DataFrame:
     """road: of the roads that contain a point the one whose heading is closest, the smaller id of equal ones; null on no road."""
-    found = candidates(points.select(key, "x", "y", "prev_x", "prev_y"), roads, config)
-    best = found.groupBy(key).agg(F.min_by("road", F.struct(F.round(heading_cost(), 9), "road")).alias("road"))
-    return points.join(best, key, "left")
+    costs = F.transform(F.filter("nearby", holds), lambda r: F.struct(F.round(heading_cost(r), 9).alias("cost"), r["qid"].alias("qid")))
+    return with_nearby(points, roads, config).withColumn("road", F.array_min(costs)["qid"]).drop("nearby")
 
 
 def processed(points: DataFrame, kept: DataFrame, config: EngineConfig) -> DataFrame:
@@ -72,13 +90,15 @@ def processed(points: DataFrame, kept: DataFrame, config: EngineConfig) -> DataF
     return out.join(small(keep), ["__before", "oid"], "left").where("rn = 1 OR __keep").drop("__before", "__keep")
 
 
-def stored(points: DataFrame, roads: DataFrame, config: EngineConfig, kept: DataFrame | None = None, key: str = "event_id") -> DataFrame:
+def enters() -> Column:
+    """Whether a point with rn, v and nearby roads enters its trajectory: an object's first always, later ones on a road and not too fast."""
+    return (F.col("rn") == 1) | (is_inside() & (F.isnull("v") | (F.col("v") <= MOST_SPEED)))
+
+
+def stored(points: DataFrame, roads: DataFrame, config: EngineConfig, kept: DataFrame | None = None) -> DataFrame:
     """The points that enter the trajectories: an object's first point always; later ones if inside an active road and not above the
     highest speed, and, with a history kept (cycle, oid), if the object was kept at the end of the cycle before."""
-    s = speeds(points)
-    inside = candidates(s.where("rn > 1").select(key, "x", "y"), roads, config).select(key).distinct()
-    out = s.join(inside.withColumn("inside", F.lit(True)), key, "left").where((F.col("rn") == 1) | (F.col("inside") & (F.isnull("v") | (F.col("v") <= MOST_SPEED))))
-    out = out.drop("inside")
+    out = with_nearby(speeds(points), roads, config).where(enters()).drop("nearby")
     return out if kept is None else processed(out, kept, config)
 
 

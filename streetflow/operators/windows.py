@@ -21,28 +21,25 @@ def ticks(points: DataFrame, period: int, window: int, *, t: str = "t") -> DataF
     return out.withColumn("tick", F.col("__k") * period).drop("__k", "__last")
 
 
-def object_means(points: DataFrame, period: int, window: int, road: str = "qid") -> DataFrame:
-    """(tick, oid, road, m, n): mean and number of an object's speeds on a road in the tick's window.
+def object_means(points: DataFrame, period: int, window: int | Column, road: str = "qid", stream: DataFrame | None = None) -> DataFrame:
+    """(tick, oid, road, m, n): mean and number of an object's speeds on a road in the tick's window; the window may be a column of points.
 
-    Where the window is a multiple of the period, sums by cycle come first and only they are spread over the ticks; a point exactly
-    on its cycle's tick is also in the window that begins there.
+    The points that enter and leave with the same ticks are summed first, two sums for each object, road and cycle at most where the
+    window is one for all, and only the sums are spread over the ticks. The last tick is that of `stream`, the raw points, which costs a
+    scan of one column; without it the points themselves are computed twice.
     """
-    own = points.where(F.col("v").isNotNull() & (F.col(road) != 0)).select("oid", F.col(road).alias("road"), "t", "v")
-    cycle = F.ceil(F.col("t") / period)
-    bound = points.agg(F.ceil(F.max("t") / period).alias("last"))
-    if window % period:
-        spread = ticks(own, period, window).select("tick", "oid", "road", F.col("v").alias("s"), F.lit(1).cast("long").alias("n"))
-    else:
-        panes = own.groupBy("oid", "road", cycle.alias("k"), (F.col("t") == cycle * period).alias("edge")).agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-        end = F.col("k") + window // period - F.when(F.col("edge"), 0).otherwise(1)
-        spread = panes.join(F.broadcast(bound)).withColumn("k", F.explode(F.sequence(F.col("k"), F.least(end, F.col("last"))))).select((F.col("k") * period).alias("tick"), "oid", "road", "s", "n")
+    own = points.where(F.col("v").isNotNull() & (F.col(road) != 0))
+    bound = last_tick(points if stream is None else stream, period)
+    first, end = F.ceil(F.col("t") / period), F.floor((F.col("t") + window) / period)
+    panes = own.groupBy("oid", F.col(road).alias("road"), first.alias("k"), end.alias("end")).agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    spread = panes.join(F.broadcast(bound)).withColumn("tick", F.explode(F.sequence(F.col("k") * period, F.least(F.col("end") * period, "last"), F.lit(period).cast("long"))))
     return spread.groupBy("tick", "oid", "road").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
 
 
 def road_speeds(means: DataFrame, roads: DataFrame, kind: str = "avg") -> DataFrame:
     """(tick, qid, speed, num_objects) of the registered roads: the mean or the largest of the objects' means."""
     out = F.avg("m") if kind == "avg" else F.greatest(F.max("m"), F.lit(0.0))
-    registered = small(roads.select(F.col("qid").alias("road")).distinct())
+    registered = small(roads.select(F.col("qid").alias("road")).distinct(), roads)
     return means.join(registered, "road", "left_semi").groupBy("tick", F.col("road").alias("qid")).agg(out.alias("speed"), F.count("*").alias("num_objects"))
 
 
@@ -51,10 +48,28 @@ def reports(roads: DataFrame) -> Column:
     return (F.col("tick") >= F.col("q_t") + F.col("q_range")) & ((F.col("tick") - F.col("q_t")) % F.col("q_slide") == 0)
 
 
+def own_times(roads: DataFrame) -> DataFrame:
+    """(qid, q_t, q_range, q_slide): when a road's query begins and reports."""
+    return roads.groupBy("qid").agg(F.min("t").alias("q_t"), F.min("range").alias("q_range"), F.min("slide").alias("q_slide"))
+
+
+def answer(kind: str = "avg") -> list[Column]:
+    """speed and num_objects of a row that may have no objects: speed -1 and 0 objects; an average that is not above 0.001 is -1, too."""
+    n = F.coalesce("num_objects", F.lit(0).cast("long"))
+    low = F.col("speed") * n <= 0.001 if kind == "avg" else F.lit(False)
+    return [F.when((n == 0) | low, -1.0).otherwise(F.col("speed")).alias("speed"), n.alias("num_objects")]
+
+
+def answers(roads: DataFrame, speeds: DataFrame, tick: int, kind: str = "avg") -> DataFrame:
+    """(t, qid, speed, num_objects) of all roads that report at one tick; speeds are that tick's."""
+    due = own_times(roads).withColumn("tick", F.lit(tick).cast("long")).where(reports(roads))
+    return due.join(speeds.drop("tick"), "qid", "left").select(F.col("tick").alias("t"), "qid", *answer(kind))
+
+
 def report(roads: DataFrame, speeds: DataFrame, points: DataFrame, period: int, zero_fill: bool = True, kind: str = "avg") -> DataFrame:
     """(t, qid, speed, num_objects) at the reporting ticks. A road without objects has speed -1 and 0 objects if zero_fill; an average
     that is not above 0.001 is shown as -1 and keeps its count."""
-    own = small(roads.groupBy("qid").agg(F.min("t").alias("q_t"), F.min("range").alias("q_range"), F.min("slide").alias("q_slide")))
+    own = small(own_times(roads), roads)
     if zero_fill:
         grid = last_tick(points, period).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(period).cast("long"))).alias("tick"))
         # every tick with every road: the output's own size
@@ -62,25 +77,13 @@ def report(roads: DataFrame, speeds: DataFrame, points: DataFrame, period: int,
         out = frame.join(speeds, ["tick", "qid"], "left")
     else:
         out = speeds.join(own, "qid").where(reports(roads))
-    n = F.coalesce("num_objects", F.lit(0).cast("long"))
-    low = F.col("speed") * n <= 0.001 if kind == "avg" else F.lit(False)
-    speed = F.when((n == 0) | low, -1.0).otherwise(F.col("speed"))
-    return out.select(F.col("tick").cast("long").alias("t"), "qid", speed.alias("speed"), n.alias("num_objects"))
-
-
-def own_windows(points: DataFrame, roads: DataFrame, period: int) -> DataFrame:
-    """Object means where each road has a window of its own: the roads' ranges are few, each is computed once."""
-    ranges = [r["range"] for r in roads.select("range").distinct().limit(65).collect()]
-    if len(ranges) > 64:
-        raise ValueError("more than 64 different ranges")
-    parts = []
-    for r in sorted(ranges):
-        mine = small(roads.where(F.col("range") == r).select("qid").distinct())
-        parts.append(object_means(points, period, r).join(mine.withColumnRenamed("qid", "road"), "road", "left_semi"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return out.select(F.col("tick").cast("long").alias("t"), "qid", *answer(kind))
+
+
+def own_windows(points: DataFrame, roads: DataFrame, period: int, stream: DataFrame | None = None) -> DataFrame:
+    """Object means where each road has a window of its own: a point's window is that of its road, the shortest of a road's segments."""
+    ranges = small(roads.groupBy("qid").agg(F.min("range").alias("__range")), roads)
+    return object_means(points.join(ranges, "qid"), period, F.col("__range"), stream=points if stream is None else stream)
 
 
 def panes(points: DataFrame, slide: int, keep: int) -> DataFrame:

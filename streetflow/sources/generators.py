@@ -6,22 +6,33 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_ITEMS = 10_000
+from streetflow.operators.trajectory import chance
+
+#: steps of a distribution that are sent to every executor
+MOST_ITEMS = 1_000_000
 
 
 def uniform(spark: SparkSession, n: int, low: float, high: float, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("i"), (F.rand(seed) * (high - low) + low).alias("value"))
+    return spark.range(n).select(F.col("id").alias("i"), (chance("id", seed) * (high - low) + low).alias("value"))
 
 
 def gaussian(spark: SparkSession, n: int, mean: float, deviation: float, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("i"), (F.randn(seed) * deviation + mean).alias("value"))
+    """From two uniform numbers each, by their polar form."""
+    u, v = 1 - chance("id", seed), chance("id", seed + 1)
+    normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * np.pi * v)
+    return spark.range(n).select(F.col("id").alias("i"), (normal * deviation + mean).alias("value"))
 
 
 def zipf(spark: SparkSession, n: int, domain: int, skew: float, seed: int) -> DataFrame:
-    """Items 1..domain (at most MOST_ITEMS) with probabilities proportional to item ** -skew, by inverting the distribution's steps."""
+    """Items 1..domain (at most MOST_ITEMS) with probabilities proportional to item ** -skew, by inverting the distribution: a guide of
+    as many equal slots as items names the steps in each, one on average, so that a draw compares with those of its own slot only."""
     if not 0 < domain <= MOST_ITEMS:
         raise ValueError(f"domain {domain}")
     weights = np.arange(1, domain + 1, dtype=float) ** -skew
-    steps = F.lit((np.cumsum(weights) / weights.sum()).tolist())
-    drawn = spark.range(n).select(F.col("id").alias("i"), F.rand(seed).alias("u"))
-    return drawn.select("i", F.least(F.size(F.filter(steps, lambda c: c <= F.col("u"))) + 1, F.lit(domain)).cast("long").alias("item"))
+    steps = np.cumsum(weights) / weights.sum()
+    first = np.searchsorted(steps, np.arange(domain + 1) / domain, "right")  # steps up to each slot's begin
+    guide = [(k, int(first[k]), steps[first[k] : first[k + 1]].tolist()) for k in range(domain)]
+    slots = spark.createDataFrame(guide, "slot long, below long, steps array<double>")
+    drawn = spark.range(n).select(F.col("id").alias("i"), chance("id", seed).alias("u")).withColumn("slot", F.floor(F.col("u") * domain))
+    passed = F.col("below") + F.size(F.filter("steps", lambda c: c <= F.col("u")))
+    return drawn.join(F.broadcast(slots), "slot").select("i", F.least(passed + 1, F.lit(domain)).cast("long").alias("item"))
