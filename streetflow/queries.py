@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from streetflow.config import ATHENS, EngineConfig
 from streetflow.functions import geometry as G
 from streetflow.operators import accuracy, controller, joins, segments, sets, shedding, sketches, trajectory, windows
+from streetflow import schemas, sinks
+from streetflow.plans import adaptive
 from streetflow.plans.speeds import speed_query
 from streetflow.sources import files, generators, tables
-from streetflow import sinks
+from streetflow.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +22,7 @@ CONFIG = EngineConfig()
 PERIOD, RANGE, SLIDE = CONFIG.period, CONFIG.range, CONFIG.slide
 
 BASE = """
-WITH ev AS (SELECT event_id, user_id AS oid, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS t, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events),
+WITH RECURSIVE ev AS (SELECT event_id, user_id AS oid, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS t, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events),
 loc AS (SELECT event_id, oid, t, 450000 + 80 * value AS x, 4175000 + 500 * k AS y, CAST((oid + CAST(k AS INT)) % 26 AS INT) AS qid FROM ev),
 sp0 AS (SELECT *, row_number() OVER w AS rn, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM loc WINDOW w AS (PARTITION BY oid ORDER BY t, event_id)),
 sp AS (SELECT *, CASE WHEN rn = 1 THEN 0.0::DOUBLE WHEN t = pt THEN NULL ELSE 3.6 * sqrt((x - px) * (x - px) + (y - py) * (y - py)) / (t - pt) END AS v FROM sp0),
@@ -98,7 +100,7 @@ def with_cells(spark, d):
 
 
 def means(spark, d):
-    return windows.object_means(stored(spark, d), PERIOD, RANGE)
+    return windows.object_means(stored(spark, d), PERIOD, RANGE, stream=pts(spark, d))
 
 
 def speeds_of(m, roads):
@@ -109,7 +111,13 @@ def result_pair(spark, d):
     """The exhaustive result and that of a fixed random hundred objects."""
     m, roads = means(spark, d), act(spark, d)
     kept = shedding.random(ids(spark, d), 100)
-    return speeds_of(m.join(F.broadcast(kept), "oid", "left_semi"), roads), speeds_of(m, roads)
+    return speeds_of(m.join(joins.small(kept), "oid", "left_semi"), roads), speeds_of(m, roads)
+
+
+def constant_history(p, kept):
+    """A history in which the same ids stay all the time: its rows are the cycles times the ids."""
+    cycles = windows.last_tick(p, PERIOD).select(F.explode(F.sequence(F.lit(-PERIOD).cast("long"), F.col("last"), F.lit(PERIOD).cast("long"))).alias("cycle"))
+    return cycles.join(joins.small(kept))
 
 
 def diffs(spark, d):
@@ -150,9 +158,34 @@ def avg_speed_own_windows(spark, d):
 def avg_speed_with_kept_history(spark, d):
     p = pts(spark, d)
     kept = shedding.random(ids(spark, d), 100)
-    cycles = windows.last_tick(p, PERIOD).select(F.explode(F.sequence(F.lit(-PERIOD).cast("long"), F.col("last"), F.lit(PERIOD).cast("long"))).alias("cycle"))
-    history = cycles.join(F.broadcast(kept))  # a history in which the same ids stay all the time
-    return speed_query(p, act(spark, d), zero_fill=False, kept=history).where("speed >= 0").select("t", "qid", r("speed").alias("speed"), "num_objects")
+    return speed_query(p, act(spark, d), zero_fill=False, kept=constant_history(p, kept)).where("speed >= 0").select("t", "qid", r("speed").alias("speed"), "num_objects")
+
+
+@query("""SELECT CAST(tick AS BIGINT) AS t, CAST(road AS INT) AS qid, round(CASE WHEN avg(m) * count(*) <= 0.001 THEN -1 ELSE avg(m) END, 6) AS speed, count(*) AS num_objects FROM (
+  SELECT tick, oid, road, avg(v) AS m FROM (SELECT s.*, CASE WHEN rn = 1 THEN s.qid ELSE p.road END AS road FROM tk s LEFT JOIN (SELECT * FROM pip WHERE road IN (SELECT qid FROM act)) p USING (event_id))
+  WHERE v IS NOT NULL AND road IN (SELECT qid FROM act) GROUP BY ALL) WHERE tick >= 86400 GROUP BY ALL""")
+def avg_speed_assigned(spark, d):
+    """The roads of the polygons, not of the labels."""
+    return speed_query(pts(spark, d), act(spark, d), zero_fill=False, mode="assigned").select("t", "qid", r("speed").alias("speed"), "num_objects")
+
+
+def adaptive_run(spark, d):
+    """Cycles of five days, windows of ten; the load is work, so that runs are alike; more of it comes than is wanted."""
+    p = pts(spark, d)
+    config = EngineConfig(period=432_000, slide=432_000, range=864_000, scheme=5, capacity_percent=60, loads=3)
+    roads = act(spark, d).withColumn("range", F.lit(864_000).cast("long")).withColumn("slide", F.lit(432_000).cast("long"))
+    return adaptive.adaptive_query(p, roads, config, adaptive.work(0.4 * p.count()))
+
+
+@query()
+def adaptive_telemetry(spark, d):
+    """Tested against a plain fold: the choice of each cycle stands on the window of the one before."""
+    return adaptive_run(spark, d).telemetry().drop("mil_up_time", "mil_ev_time", "mil_ls_time")
+
+
+@query()
+def adaptive_speeds(spark, d):
+    return adaptive_run(spark, d).results()
 
 
 # sources and sinks
@@ -173,7 +206,77 @@ def src3_arrival_cycles(spark, d):
     return files.by_arrival(pts(spark, d), 700, "t", "event_id").select("cycle", "event_id")
 
 
-ROAD_LINE = "'0 ' || qid || ' ' || cid || ' ' || CAST(cx + 500 AS BIGINT) || ',' || CAST(cy + 5000 AS BIGINT) || ' ' || CAST(cx + 9500 AS BIGINT) || ',' || CAST(cy + 5000 AS BIGINT)"
+def text_of(spark, write, *args):
+    """Writes text to a new folder, by a sink; its path."""
+    path = shared_dir(spark)
+    write(*args, path)
+    return path
+
+
+@query("SELECT oid, round(t, 6) AS t, round(x, 4) AS x, round(y, 4) AS y, qid FROM loc")
+def src1_snk4_text_stream(spark, d):
+    """The stream written as text and read back."""
+    p = files.locations(spark, text_of(spark, sinks.write_stream_text, pts(spark, d)))
+    return p.select("oid", r("t").alias("t"), r("x", 4).alias("x"), r("y", 4).alias("y"), "qid")
+
+
+@query("SELECT qid FROM act")
+def src8_snk5_text_ids(spark, d):
+    return files.active_ids(spark, text_of(spark, sinks.write_ids, tables.active(spark, d)))
+
+
+@query("SELECT n_nationkey AS segment_id, CAST(n_regionkey + 1 AS INT) AS class_id, 1000 + n_nationkey AS osm_id, n_name AS name FROM nation", base=False)
+def src10_road_segments(spark, d):
+    n = tables.read(spark, d, "nation").select("n_nationkey", F.col("n_regionkey") + 1, 1000 + F.col("n_nationkey"), "n_name")
+    return files.road_segments(spark, text_of(spark, lambda df, path: df.write.csv(path), n))
+
+
+@query("SELECT CAST(n_nationkey + 1 AS INT) AS qid, 1000 + n_nationkey AS osm_id, CASE WHEN n_regionkey > 1 THEN n_name END AS name, CAST(n_regionkey + 1 AS INT) AS class_id FROM nation", base=False)
+def src10_buffers(spark, d):
+    n = tables.read(spark, d, "nation").select(F.col("n_nationkey") + 1, 1000 + F.col("n_nationkey"), F.when(F.col("n_regionkey") > 1, F.col("n_name")), F.col("n_regionkey") + 1)
+    return files.buffers(spark, text_of(spark, lambda df, path: df.write.csv(path, emptyValue=""), n))
+
+
+SIX = "CASE WHEN abs({0}) < 10 THEN 5 WHEN abs({0}) < 100 THEN 4 ELSE 3 END"
+
+
+@query(f"SELECT CAST(t AS BIGINT) AS t, qid, round(speed, {SIX.format('speed')}) AS speed, num_objects FROM rep")
+def snk1_src11_text_results(spark, d):
+    """The answers with six significant digits as text, read back."""
+    return files.results(spark, text_of(spark, sinks.write_results, speed_query(pts(spark, d), act(spark, d))))
+
+
+@query("SELECT qid, win_range, win_slide, category, round(length, 4) AS length FROM ax")
+def src12_text_axes(spark, d):
+    text = lambda df, path: df.write.csv(path, sep=" ", header=True)
+    return files.axes(spark, text_of(spark, text, tables.axes(spark, d))).select("qid", "win_range", "win_slide", "category", r("length", 4).alias("length"))
+
+
+@query("SELECT * FROM (VALUES ('gran_x', '40'), ('capacity', '8.0'), ('band', '0.5'), ('scheme', '3'), ('range', '900'), ('global_window', 'False'), ('universe', '(1757000.0, 4608800.0, 1822000.0, 4673800.0)')) v(name, value)", base=False)
+def src13_parameters(spark, d):
+    c = EngineConfig.parse("VALID 1 10 o 2 q a 1 0 40 50 10 80 3 5 1 5 0 900 60 60 1 2 0".split())
+    return spark.createDataFrame([(n, str(getattr(c, n))) for n in ("gran_x", "capacity", "band", "scheme", "range", "global_window", "universe")], "name string, value string")
+
+
+@query("SELECT qid FROM act")
+def snk6_snk7_saved_table(spark, d):
+    """A table that is replaced: first all roads, then the active ones."""
+    path = shared_dir(spark)
+    for rows in (tables.roads(spark, d).select("qid"), tables.active(spark, d)):
+        sinks.save_table(rows, "streetflow_saved", path)
+    return spark.read.schema("qid int").parquet(path)
+
+
+NAMES = ", ".join("'" + name.replace("'", "''") + "'" for name in schemas.TELEMETRY.values())
+
+
+@query(f"SELECT unnest([{NAMES}]) AS name", base=False)
+def snk2_telemetry_columns(spark, d):
+    """The header of an adaptive run's telemetry as text, of a run over the first day."""
+    p = pts(spark, d).where("t <= 86400")
+    run = adaptive.adaptive_query(p, act(spark, d), EngineConfig(period=86_400, slide=86_400))
+    path = text_of(spark, sinks.write_telemetry, run.telemetry())
+    return spark.read.text(path).where("value LIKE 't;%'").select(F.explode(F.split("value", ";")).alias("name"))
 
 
 def road_lines(spark, d, rome):
@@ -215,19 +318,24 @@ def src12_axes(spark, d):
     return tables.axes(spark, d).select("qid", "win_range", "win_slide", "category", r("length", 4).alias("length"))
 
 
-@query()
+DRAW = "('0x' || substr(md5(concat(CAST(id AS VARCHAR), '|{}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+DRAWN = f"WITH u AS (SELECT id AS i, {DRAW.format(7)} AS u, {DRAW.format(8)} AS v FROM range(0, 2000) a(id))"
+
+
+@query(DRAWN + """, w AS (SELECT k, pow(k, -1.0) AS w FROM range(1, 101) a(k)), s AS (SELECT k, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS step FROM w)
+SELECT i, least(1 + count(step), 100) AS item FROM u LEFT JOIN s ON step <= u GROUP BY i""", base=False)
 def src14_zipf(spark, d):
     return generators.zipf(spark, 2000, 100, 1.0, 7)
 
 
-@query()
+@query(DRAWN + " SELECT i, round(10 + 2 * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v), 6) AS value FROM u", base=False)
 def src14_gaussian(spark, d):
-    return generators.gaussian(spark, 2000, 10.0, 2.0, 7)
+    return generators.gaussian(spark, 2000, 10.0, 2.0, 7).select("i", r("value").alias("value"))
 
 
-@query()
+@query(DRAWN + " SELECT i, round(5 + 4 * u, 6) AS value FROM u", base=False)
 def src14_uniform(spark, d):
-    return generators.uniform(spark, 2000, 5.0, 9.0, 7)
+    return generators.uniform(spark, 2000, 5.0, 9.0, 7).select("i", r("value").alias("value"))
 
 
 @query("""SELECT round(avg(tuples), 6) AS avg_update_s, round(100 * avg(tuples) / (avg(tuples) + avg(num)), 6) AS share_update_s, max(tuples) AS max_load FROM
@@ -249,7 +357,7 @@ def snk8_printed_roads(spark, d):
 @query("SELECT event_id FROM sp WHERE rn = 1 OR oid IN (SELECT oid FROM kept)")
 def fil1_kept(spark, d):
     kept = shedding.random(ids(spark, d), 100).withColumn("k", F.lit(True))
-    return trajectory.speeds(pts(spark, d)).join(F.broadcast(kept), "oid", "left").where("rn = 1 OR k").select("event_id")
+    return trajectory.speeds(pts(spark, d)).join(joins.small(kept), "oid", "left").where("rn = 1 OR k").select("event_id")
 
 
 @query("SELECT event_id FROM pip WHERE road IN (SELECT qid FROM act)")
@@ -272,7 +380,7 @@ def fil5_fil6_registered(spark, d):
 def fil7_reporting_ticks(spark, d):
     roads = tables.roads(spark, d, global_window=False).select("qid", F.col("t").alias("q_t"), F.col("range").alias("q_range"), F.col("slide").alias("q_slide"))
     grid = windows.last_tick(pts(spark, d), PERIOD).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(PERIOD).cast("long"))).alias("tick"))
-    return grid.join(F.broadcast(roads)).where(windows.reports(roads)).select("tick", "qid")
+    return grid.join(joins.small(roads)).where(windows.reports(roads)).select("tick", "qid")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS m FROM loc) WHERE ('0x' || substr(md5(concat(CAST(event_id AS VARCHAR), '|7')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 1.5 * 300 / m")
@@ -294,7 +402,7 @@ def fil10_fresh_objects(spark, d):
 def fil11_kept_or_road_changed(spark, d):
     kept = shedding.random(ids(spark, d), 100).withColumn("k", F.lit(True))
     before = F.lag("qid").over(Window.partitionBy("oid").orderBy("t", "event_id"))
-    return pts(spark, d).withColumn("pq", before).join(F.broadcast(kept), "oid", "left").where("k OR pq IS NULL OR pq <> qid").select("event_id")
+    return pts(spark, d).withColumn("pq", before).join(joins.small(kept), "oid", "left").where("k OR pq IS NULL OR pq <> qid").select("event_id")
 
 
 @query("SELECT event_id, oid, round(v, 6) AS v FROM sp")
@@ -409,9 +517,8 @@ def agg4_zero_fill(spark, d):
     return speed_query(pts(spark, d), act(spark, d)).groupBy("t").agg(F.count("*").alias("roads"), F.count(F.when(F.col("speed") == -1, 1)).alias("unanswered"))
 
 
-@query("SELECT CAST(tick AS BIGINT) AS tick, road, string_agg(CAST(oid AS VARCHAR), ',' ORDER BY oid) AS oids FROM om WHERE tick % 432000 = 0 GROUP BY ALL")
+@query("SELECT CAST(tick AS BIGINT) AS tick, road, string_agg(CAST(oid AS VARCHAR), ',' ORDER BY oid) AS oids FROM om GROUP BY ALL")
 def agg5_contributors(spark, d):
-    """All ticks. The oracle above still has a filter on every 20th tick, so it holds a part of these rows only."""
     m = means(spark, d).groupBy(F.col("tick").cast("long").alias("tick"), "road").agg(F.array_sort(F.collect_set("oid")).alias("o"))
     return m.select("tick", "road", F.array_join(F.col("o").cast("array<string>"), ",").alias("oids"))
 
@@ -439,14 +546,40 @@ def agg7_telemetry(spark, d):
 def agg7_processed_stored(spark, d):
     """The points processed and stored by tick: of all objects, and when the same hundred are kept all the time."""
     p, m, s = pts(spark, d), means(spark, d), stored(spark, d)
-    cycles = windows.last_tick(p, PERIOD).select(F.explode(F.sequence(F.lit(-PERIOD).cast("long"), F.col("last"), F.lit(PERIOD).cast("long"))).alias("cycle"))
-    history = cycles.join(F.broadcast(shedding.random(ids(spark, d), 100)))
+    history = constant_history(p, shedding.random(ids(spark, d), 100))
     every = windows.telemetry(p, m, PERIOD, RANGE, SLIDE, s)
     kept = windows.telemetry(p, m, PERIOD, RANGE, SLIDE, trajectory.processed(s, history, CONFIG), trajectory.processed(trajectory.with_previous(p), history, CONFIG))
     both = every.join(kept.select("tick", F.col("processed").alias("kept_processed"), F.col("stored").alias("kept_stored")), "tick")
     return both.select(*[F.col(c).cast("long").alias(c) for c in ("tick", "tuples", "processed", "stored", "kept_processed", "kept_stored")])
 
 
+@query("""SELECT round(avg(up), 6) AS avg_update_s, CAST(max(up) AS DOUBLE) AS max_load, max(nan) AS not_a_number, round(max(pip), 6) AS pip_correctness FROM (SELECT count(*)::DOUBLE AS up FROM loc GROUP BY ceil(t / 21600)),
+  (SELECT count(*) FILTER (v IS NULL) AS nan FROM sp), (SELECT 100.0 * count(*) FILTER (pip.road = loc.qid) / count(*) AS pip FROM pip JOIN loc USING (event_id))""")
+def snk3_final_summary(spark, d):
+    p = pts(spark, d)
+    by = p.groupBy(F.ceil(F.col("t") / PERIOD).alias("k")).agg(F.count("*").cast("double").alias("up_time"))
+    rows = by.select("up_time", F.lit(0.0).alias("ev_time"), F.lit(0.0).alias("ls_time"), F.col("up_time").alias("load"))
+    s = sinks.final_summary(rows, trajectory.assign_roads(trajectory.speeds(p), tables.roads(spark, d), CONFIG))
+    return s.select(r("avg_update_s").alias("avg_update_s"), "max_load", "not_a_number", r("pip_correctness").alias("pip_correctness"))
+
+
+@query("SELECT oid, round(t, 6) AS t, oid AS id, round(x, 0) AS x FROM loc")
+def snk8_printed_points(spark, d):
+    """Of each line the object and the place that it names, the place in whole metres."""
+    part = F.split(F.regexp_replace("line", "[<>]", ""), ", ")
+    return sinks.printed_points(pts(spark, d)).select("oid", r("t").alias("t"), part[1].cast("long").alias("id"), part[2].cast("double").alias("x"))
+
+
+@query("SELECT cell, string_agg(CAST(oid AS VARCHAR), ', ' ORDER BY oid) AS oids FROM (SELECT oid, arg_max(cell, (t, event_id)) AS cell FROM cel GROUP BY oid) WHERE cell IS NOT NULL GROUP BY cell")
+def snk8_printed_cells(spark, d):
+    return sinks.printed_cells(pts(spark, d), CONFIG)
+
+
+@query("SELECT oid, '{' || string_agg('(' || qid || ' ' || CAST(floor(t) AS BIGINT) || ')', ' -> ' ORDER BY t, event_id) || '}' AS line FROM loc GROUP BY oid")
+def snk8_printed_trajectories(spark, d):
+    return sinks.printed_trajectories(pts(spark, d))
+
+
 @query("SELECT round(max(n), 6) AS max_load, round(avg(n), 6) AS avg_load FROM (SELECT count(*)::DOUBLE AS n FROM loc GROUP BY ceil(t / 21600))")
 def agg9_loads(spark, d):
     by = pts(spark, d).groupBy(F.ceil(F.col("t") / PERIOD).alias("k")).agg(F.count("*").cast("double").alias("n"))
@@ -461,9 +594,8 @@ def agg10_regression(spark, d):
 
 @query("SELECT CAST(floor(avg(c)) AS BIGINT) AS mean_crowd, CAST(list_sort(list(c))[len(list(c)) // 3 + 1] AS BIGINT) AS third FROM (SELECT qid, count(*) AS c FROM tch GROUP BY qid)")
 def agg11_agg12_crowd_thresholds(spark, d):
-    t = touched(spark, d).groupBy("qid").agg(F.count("*").alias("c"))
-    n = t.agg(F.array_sort(F.collect_list("c")).alias("c"), F.floor(F.avg("c")).alias("mean_crowd"))  # a number per road
-    return n.select("mean_crowd", F.expr("c[cast(floor(size(c) / 3) AS int)]").alias("third"))
+    t = touched(spark, d)
+    return spark.createDataFrame([(shedding.few_objects_threshold(t, 1), shedding.few_objects_threshold(t, 3))], "mean_crowd long, third long")
 
 
 @query("SELECT qid, cx + 500 AS x_min, cy + 500 AS y_min, cx + 9500 AS x_max, cy + 9500 AS y_max FROM road")
@@ -618,12 +750,19 @@ def top3_top14_top19_random(spark, d):
     return shedding.random(ids(spark, d), 100)
 
 
-@query("SELECT oid FROM kept ORDER BY md5(concat(CAST(oid AS VARCHAR), '|7')), oid LIMIT 60")
+@query(""", f AS (SELECT oid, min(t) AS t FROM loc GROUP BY oid), old AS (SELECT oid FROM f WHERE t <= 60000), a AS (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS place FROM (SELECT oid FROM old ORDER BY md5(concat(CAST(oid AS VARCHAR), '|7')), oid LIMIT 30)),
+  new AS (SELECT oid, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY t, oid) AS size FROM f WHERE t > 60000),
+  drawn AS (SELECT oid, size, floor(('0x' || substr(md5(concat(CAST(oid AS VARCHAR), '|7')), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS place FROM new),
+  let_in AS (SELECT * FROM drawn WHERE size < 80 OR place < (SELECT count(*) FROM a))
+SELECT oid FROM a WHERE place NOT IN (SELECT place FROM let_in WHERE size >= 80) UNION ALL SELECT oid FROM let_in""")
 def top4_reservoir(spark, d):
-    return shedding.reservoir(shedding.reservoir(ids(spark, d), 100), 60)
+    """Thirty of the objects known after 60,000 s are active; those that come later are let in one after another."""
+    first = files.first_times(pts(spark, d))
+    old = first.where("t <= 60000").select("oid")
+    return shedding.admit(first.where("t > 60000"), shedding.random(old, 30), old.count(), 80)
 
 
-@query("SELECT oid FROM kept WHERE oid NOT IN (SELECT oid FROM kept ORDER BY md5(concat(CAST(oid AS VARCHAR), '|9')), oid LIMIT 30)")
+@query("SELECT oid FROM kept WHERE oid NOT IN (SELECT oid FROM kept ORDER BY md5(concat(CAST(oid AS VARCHAR), '|9')), oid LIMIT (SELECT greatest(count(*) - 70, 0) FROM kept))")
 def top5_drop_random(spark, d):
     return shedding.drop_random(ids(spark, d), shedding.random(ids(spark, d), 100), 70, seed=9)
 
@@ -643,11 +782,20 @@ def top8_sparse_roads_first(spark, d):
     return shedding.sparse_first(ids(spark, d), touched(spark, d), 60, 130)
 
 
-STRATA = ", lc AS (SELECT oid, CAST(oid % 7 AS BIGINT) AS cell FROM ids)"
+STRATA = """, c5 AS (SELECT *, CASE WHEN x >= 450000 AND x < 500000 AND y >= 4175000 AND y < 4225000 THEN CAST(5 * floor((y - 4175000) / 10000) + floor((x - 450000) / 10000) AS BIGINT) END AS cell FROM loc),
+rc AS (SELECT CAST(qid - 1 AS BIGINT) AS cell FROM act), lc AS (SELECT oid, cell FROM (SELECT oid, arg_max(cell, (t, event_id)) AS cell FROM c5 GROUP BY oid) WHERE cell IN (SELECT cell FROM rc))"""
+
+
+def coarse_cells(spark, d):
+    """Points in 25 cells, each with a road of its own, and the cells of the active roads."""
+    c = EngineConfig(gran_x=5, gran_y=5)
+    return pts(spark, d).withColumn("cell", G.cell_of(F.col("x"), F.col("y"), ATHENS, 5, 5)), trajectory.road_cells(act(spark, d), c).select("cell").distinct()
 
 
 def strata(spark, d):
-    return ids(spark, d).withColumn("cell", F.col("oid") % 7)
+    """The objects that are now in a cell of an active road."""
+    points, cells = coarse_cells(spark, d)
+    return trajectory.latest(points, "cell").join(joins.small(cells), "cell", "left_semi").select("oid", "cell")
 
 
 @query(STRATA + f" SELECT oid, cell FROM (SELECT oid, cell, row_number() OVER (PARTITION BY cell ORDER BY {HASH}, oid) AS rn, count(*) OVER (PARTITION BY cell) AS size, (SELECT count(*) FROM lc) AS total FROM lc) WHERE rn <= greatest(1, ceil(50.0::DOUBLE * size / total) - 1)")
@@ -655,13 +803,14 @@ def top10_stratified(spark, d):
     return shedding.stratified(strata(spark, d), 50)
 
 
-@query(STRATA + f", hist AS (SELECT DISTINCT oid, qid % 7 AS cell FROM tch), quota AS (SELECT cell, ceil(50.0::DOUBLE * count(*) / (SELECT count(*) FROM hist)) AS q FROM hist GROUP BY cell), uni AS (SELECT oid, cell, min(late) AS late FROM (SELECT oid, cell, 0 AS late FROM hist UNION ALL SELECT oid, cell, 1 FROM lc) GROUP BY ALL) SELECT DISTINCT oid FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY late, {HASH}, oid) AS rn FROM uni) JOIN quota USING (cell) WHERE rn <= q")
+@query(STRATA + f", hist AS (SELECT DISTINCT oid, cell FROM c5 WHERE cell IN (SELECT cell FROM rc)), quota AS (SELECT cell, ceil(50.0::DOUBLE * count(*) / (SELECT count(*) FROM hist)) AS q FROM hist GROUP BY cell), uni AS (SELECT oid, cell, min(late) AS late FROM (SELECT oid, cell, 0 AS late FROM hist UNION ALL SELECT oid, cell, 1 FROM lc) GROUP BY ALL) SELECT DISTINCT oid FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY late, {HASH}, oid) AS rn FROM uni) JOIN quota USING (cell) WHERE rn <= q")
 def top11_stratified_history(spark, d):
-    history = touched(spark, d).select("oid", (F.col("qid") % 7).cast("long").alias("cell")).distinct()
+    points, cells = coarse_cells(spark, d)
+    history = points.join(joins.small(cells), "cell", "left_semi").select("oid", "cell").distinct()
     return shedding.stratified_history(strata(spark, d), history, 50)
 
 
-@query("SELECT oid FROM (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS rn FROM ids) WHERE rn % ((SELECT count(*) FROM ids) // 40) = 0 ORDER BY rn LIMIT 40")
+@query("SELECT oid FROM (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS rn FROM ids) WHERE rn % greatest((SELECT count(*) FROM ids) // 40, 1) = 0 ORDER BY rn LIMIT 40")
 def top12_systematic(spark, d):
     return shedding.systematic(ids(spark, d), 40)
 
@@ -693,10 +842,12 @@ def top16_combined(spark, d):
     return shedding.combined(touch_scores(spark, d), 40)
 
 
-@query(CELL_SEGS + f", sc AS (SELECT oid, round(sum(t2 - t1 + 1) / 1000, 3) AS score FROM cseg WHERE cell IS NOT NULL GROUP BY oid) SELECT oid FROM sc ORDER BY score DESC, {HASH}, oid LIMIT 40")
+@query(CELL_SEGS + f""", cr AS (SELECT CAST(50 * j + i AS BIGINT) AS cell, count(*) AS roads FROM act, range(0, 50) a(i), range(0, 50) b(j) WHERE i BETWEEN floor((cx + 500 - 450000) / 1000) AND floor((cx + 9500 - 450000) / 1000) AND j BETWEEN floor((cy + 500 - 4175000) / 1000) AND floor((cy + 9500 - 4175000) / 1000) GROUP BY 1),
+sc AS (SELECT oid, CASE WHEN t <= 2000000 THEN -10 ELSE score END AS score FROM (SELECT oid, max(t) AS t FROM loc GROUP BY oid) JOIN (SELECT oid, round(sum(coalesce(roads, 0) * (t2 - t1 + 1)), 3) AS score FROM cseg LEFT JOIN cr USING (cell) GROUP BY oid) USING (oid)) SELECT oid FROM sc ORDER BY score DESC, {HASH}, oid LIMIT 40""")
 def top18_cell_score(spark, d):
-    s = segments.segments(with_cells(spark, d), "cell").where("cell IS NOT NULL").groupBy("oid").agg(r(F.sum(segments.duration()) / 1000, 3).alias("score"))
-    return shedding.top(s, 40)
+    cells = trajectory.road_cells(act(spark, d), CONFIG).groupBy("cell").agg(F.count("*").alias("roads"))
+    scores = segments.cell_score(segments.segments(with_cells(spark, d), "cell"), cells).select("oid", r("score", 3).alias("score"))
+    return shedding.top(shedding.cell_scores(scores, trajectory.latest(pts(spark, d), "t"), 2_000_000), 40)
 
 
 @query(SEM + f"SELECT oid FROM sem WHERE oid IN (SELECT oid FROM tch) ORDER BY score DESC, {HASH}, oid LIMIT 40")
@@ -776,13 +927,13 @@ def fn1_fn6_moves(spark, d):
     return p.select("event_id", r(G.distance(F.col("x"), F.col("y"), F.col("prev_x"), F.col("prev_y"))).alias("moved"), east.alias("east"))
 
 
-@query("SELECT a.qid AS a, b.qid AS b, a.cx <= b.cx + 9000 AND b.cx <= a.cx + 9000 AND a.cy <= b.cy + 9000 AND b.cy <= a.cy + 9000 AS meet, a.cx <= b.cx + 4000 AND a.cx + 9000 >= b.cx + 5000 AND a.cy <= b.cy + 4000 AND a.cy + 9000 >= b.cy + 5000 AS has_center FROM road a, road b WHERE a.qid % 5 = b.qid % 5")
+@query("SELECT a.qid AS a, b.qid AS b, a.cx <= b.cx + 9000 AND b.cx <= a.cx + 9000 AND a.cy <= b.cy + 9000 AND b.cy <= a.cy + 9000 AS meet, a.cx <= b.cx + 4000 AND a.cx + 9000 >= b.cx + 5000 AND a.cy <= b.cy + 4000 AND a.cy + 9000 >= b.cy + 5000 AS has_center FROM road a, road b")
 def fn7_boxes(spark, d):
-    """All pairs of the 25 roads. The oracle above still pairs the roads of a grid column only, so it holds a part of these rows."""
+    """All pairs of the 25 roads."""
     b = tables.roads(spark, d).select("qid", G.box_of(F.col("ring")).alias("b"))
     x, y = b.select(F.col("qid").alias("a"), F.col("b").alias("ba")), b.select(F.col("qid").alias("b"), F.col("b").alias("bb"))
     mid = F.struct((F.col("bb")["x_min"] + 4000).alias("x_min"), (F.col("bb")["y_min"] + 4000).alias("y_min"), (F.col("bb")["x_min"] + 5000).alias("x_max"), (F.col("bb")["y_min"] + 5000).alias("y_max"))
-    return x.join(F.broadcast(y)).select("a", "b", G.boxes_intersect(F.col("ba"), F.col("bb")).alias("meet"), G.box_contains(F.col("ba"), mid).alias("has_center"))
+    return x.join(joins.small(y)).select("a", "b", G.boxes_intersect(F.col("ba"), F.col("bb")).alias("meet"), G.box_contains(F.col("ba"), mid).alias("has_center"))
 
 
 @query("SELECT event_id, v BETWEEN 1 AND 3 AS inside, k >= 10 AND k <= 50 AND value >= 5 AND value <= 40 AS in_box, greatest(0, least(k + 10, 50) - greatest(k, 10)) * greatest(0, least(value + 10, 40) - greatest(value, 5)) AS volume FROM (SELECT event_id, value / 10 AS v, k, value FROM ev)", base=True)
@@ -818,10 +969,12 @@ def fn13_sphere(spark, d):
     return p.select("event_id", r(G.haversine_km(F.lit(38.0), F.lit(23.0), F.col("lat"), F.col("lon"))).alias("km"))
 
 
-@query("SELECT a.oid, round(len(list_intersect(a.q, b.q))::DOUBLE / len(list_distinct(list_concat(a.q, b.q))), 6) AS similarity FROM (SELECT oid, list(DISTINCT qid) AS q FROM loc GROUP BY oid) a JOIN (SELECT oid, list(DISTINCT qid) AS q FROM loc GROUP BY oid) b ON b.oid = a.oid + 1")
+@query("SELECT oid, round(len(list_intersect(q, p))::DOUBLE / len(list_distinct(list_concat(q, p))), 6) AS similarity FROM (SELECT oid, list(DISTINCT qid) AS q FROM loc GROUP BY oid), (SELECT list(qid) AS p FROM act)")
 def fn17_jaccard(spark, d):
-    q = pts(spark, d).groupBy("oid").agg(F.collect_set("qid").alias("q"))
-    return q.join(q.select((F.col("oid") - 1).alias("oid"), F.col("q").alias("p")), "oid").select("oid", r(G.jaccard(F.col("q"), F.col("p"))).alias("similarity"))
+    """Each object's roads and the active ones."""
+    q = pts(spark, d).groupBy("oid").agg(F.collect_set("qid").alias("q"))  # roads, of which an object has few
+    active = tables.active(spark, d).agg(F.collect_set("qid").alias("p"))
+    return q.join(F.broadcast(active)).select("oid", r(G.jaccard(F.col("q"), F.col("p"))).alias("similarity"))
 
 
 # streaming semantics on the batch, and the controller
@@ -845,17 +998,39 @@ def str10_load_prediction(spark, d):
     return controller.predictions(loads(spark, d), PERIOD, 5).select("t", "load", r("predicted", 4).alias("predicted"))
 
 
-@query()
-def str11_load_controller(spark, d):
-    series = [(r_.t, r_.load, 150) for r_ in loads(spark, d).orderBy("t").collect()]  # a row per cycle
+def fold(less, more):
+    """The controller in SQL: one row of state after another. Choices of fewer than all say 1, so shedding ends when all are kept again."""
+    return LOADS + f""", pr AS (SELECT t, load, row_number() OVER (ORDER BY t) AS i, CASE WHEN count(*) OVER w < 2 THEN NULL ELSE regr_slope(load, t) OVER w * (t + 21600) + regr_intercept(load, t) OVER w END AS ahead FROM ld WINDOW w AS (ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)),
+cap AS (SELECT 0.8::DOUBLE * max(load) AS c, 0.05::DOUBLE * max(load) AS theta, (SELECT count(*) FROM ids) AS total FROM ld),
+state(i, t, active, n) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(NULL AS DOUBLE) UNION ALL
+  SELECT i, t, is_on AND NOT ends, CASE WHEN is_on AND NOT ends THEN m END FROM (SELECT *, under AND m >= total AND load < c - theta AND ahead < c - theta AS ends FROM (
+    SELECT *, CASE WHEN over THEN greatest(0, n0 + round({less})) WHEN under THEN least(total, n0 + round({more})) ELSE n0 END AS m FROM (
+      SELECT p.i, p.t, load, ahead, c, theta, total, coalesce(ahead > c + theta, false) AS over, coalesce(ahead < c - theta, false) AND active AS under, active OR coalesce(ahead > c + theta, false) AS is_on,
+        CASE WHEN active THEN n ELSE total END AS n0, abs(ahead - c) AS gap FROM state s JOIN pr p ON p.i = s.i + 1 CROSS JOIN cap))))
+SELECT t, CAST(n AS INT) AS n FROM state WHERE i > 0"""
+
+
+def controlled(spark, d, formula):
+    total = ids(spark, d).count()
+    series = [(x.t, x.load, total) for x in loads(spark, d).orderBy("t").collect()]  # a row per cycle
     peak = max(x[1] for x in series)
-    out = controller.run(series, controller.Controller(0.8 * peak, 0.05 * peak, PERIOD))
+    out = controller.run(series, controller.Controller(0.8 * peak, 0.05 * peak, PERIOD, formula=formula))
     return spark.createDataFrame(out, "t long, n int")
 
 
+@query(fold("-log2(greatest(1, 100 * gap / c) + 1) * gap * n0 / greatest(1, 100 * gap / c)", "gap / c * n0"))
+def str11_load_controller(spark, d):
+    return controlled(spark, d, "logarithmic")
+
+
+@query(fold("(c + theta - ahead) / load * n0", "(c - theta - ahead) / load * n0"))
+def str12_band_controller(spark, d):
+    return controlled(spark, d, "band")
+
+
 @query(LOADS + " SELECT t, CASE WHEN load > 80 THEN CAST(80 AS INT) END AS n FROM ld")
 def str13_capped(spark, d):
-    return loads(spark, d).select("t", F.when(F.col("load") > 80, F.lit(80)).alias("n"))
+    return loads(spark, d).select("t", controller.capped_series(F.col("load"), 100, 80).alias("n"))
 
 
 # sketches
@@ -871,10 +1046,21 @@ def sk2_membership(spark, d):
     return sketches.members(pts(spark, d), shedding.random(ids(spark, d), 100), "oid").select("event_id")
 
 
-@query("SELECT count(*) > 0 AS made FROM loc")
-def sk3_sk4_sk7_count_min(spark, d):
-    """Only that Spark's binary sketch is made; frequencies are read back in sk3_sk4_sk7_frequencies."""
-    return pts(spark, d).agg((F.length(sketches.count_min("oid")) > 0).alias("made"))
+PLACES = "list_distinct(list_transform(range(0, 5), lambda j: ('0x' || substr(md5(concat(CAST(oid AS VARCHAR), '|7|', j)), 1, 8))::BIGINT % 512))"
+
+
+@query(f""", pl AS (SELECT oid, {PLACES} AS p FROM ids), odd AS (SELECT DISTINCT unnest(p) AS b FROM pl WHERE oid % 3 = 1), low AS (SELECT DISTINCT unnest(p) AS b FROM pl WHERE oid % 5 = 1),
+has AS (SELECT oid, p, (SELECT list(b) FROM odd) AS a, (SELECT list(b) FROM low) AS c FROM pl)
+SELECT oid, list_has_all(a, p) AS one, list_has_all(list_concat(a, c), p) AS merged, list_has_all(list_intersect(a, c), p) AS both_ FROM has""")
+def sk2_bloom(spark, d):
+    """Two filters of 512 bits, their union and their intersection: which objects each may have."""
+    every, bits = ids(spark, d), 512
+    one, two = (sketches.bloom(every.where(F.col("oid") % k == 1), "oid", bits) for k in (3, 5))
+    out = every
+    for name, f in (("one", one), ("merged", sketches.bloom_merge(one, two)), ("both_", sketches.bloom_intersect(one, two))):
+        found = sketches.bloom_contains(every, "oid", f, bits).withColumn(name, F.lit(True))
+        out = out.join(found, "oid", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
 
 
 DIGEST = "md5(concat(CAST(item AS VARCHAR), '|7|', j))"
@@ -903,9 +1089,21 @@ def sk6_second_moment(spark, d):
     return sketches.second_moment(pts(spark, d), "oid")
 
 
-@query("SELECT qid, n FROM (SELECT qid, count(*) AS n FROM loc GROUP BY qid) ORDER BY n DESC, qid LIMIT 200")
+@query(f""", it AS (SELECT oid AS item, count(*) AS n FROM loc GROUP BY oid), h AS (SELECT j, ('0x' || substr({DIGEST}, 1, 8))::BIGINT % 272 AS slot, CASE WHEN substr({DIGEST}, 9, 1) < '8' THEN n ELSE -n END AS s FROM it, range(0, 5) k(j)),
+f AS (SELECT j, sum(s * s) AS f2 FROM (SELECT j, slot, sum(s) AS s FROM h GROUP BY ALL) GROUP BY j)
+SELECT CAST((SELECT sum(n * n) FROM it) AS BIGINT) AS exact, CAST(list_sort(list(f2))[3] AS BIGINT) AS estimate FROM f""")
+def sk6_second_moment_sketch(spark, d):
+    return sketches.second_moment_sketch(pts(spark, d), "oid", 0.01)
+
+
+@query("SELECT count(DISTINCT qid) AS items, true AS close FROM loc")
 def sk9_top_items(spark, d):
-    return sketches.top_items(pts(spark, d), "qid", 200)
+    """Whether the roads' counts are exact, and those of the most frequent of 2000 items, from 256 counters, within the sketch's error."""
+    p, skewed = pts(spark, d), generators.zipf(spark, 20_000, 2000, 1.2, 7)
+    counts = lambda rows, c: rows.groupBy(c).agg(F.count("*").alias("exact"))
+    off = sketches.top_items(skewed, "item", 10, 256).join(counts(skewed, "item"), "item").agg(F.max(F.abs(F.col("n") - F.col("exact"))).alias("off"), F.count("*").alias("found"))
+    roads = sketches.top_items(p, "qid", 200).join(counts(p, "qid"), "qid").agg(F.count("*").alias("items"), F.sum((F.col("n") != F.col("exact")).cast("int")).alias("wrong"))
+    return roads.join(F.broadcast(off)).select("items", ((F.col("wrong") == 0) & (F.col("found") == 10) & (F.col("off") <= 3.5 / 256 * 20_000)).alias("close"))
 
 
 @query("SELECT count(*) AS n, true AS close FROM loc")
@@ -916,20 +1114,36 @@ def sk10_quantiles(spark, d):
     return ranked.select("n", (F.abs(F.col("share") - 0.5) < 0.02).alias("close"))
 
 
+@query("SELECT share, true AS close FROM (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS share)")
+def sk10_merged_digests(spark, d):
+    """Quantiles and ranks from two merged sketches, against the exact share of points up to the quantile."""
+    p = pts(spark, d)
+    half = lambda k: p.where(F.col("oid") % 2 == k).agg(sketches.digest_of("x").alias(f"s{k}"))
+    shares = [0.1, 0.5, 0.9]
+    both = half(0).join(F.broadcast(half(1))).select(sketches.merged("s0", "s1").alias("s"))
+    ranks = F.array(*[F.struct(F.lit(q).alias("share"), sketches.quantiles_of("s", shares)[k].alias("value")) for k, q in enumerate(shares)])
+    q = both.select("s", F.explode(ranks).alias("q")).select("q.share", "q.value", sketches.rank_of("s", "q.value").alias("rank"))
+    exact = p.join(F.broadcast(q)).groupBy("share", "rank").agg(F.avg((F.col("x") <= F.col("value")).cast("double")).alias("exact"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.03
+    return exact.select("share", (near("exact", "share") & near("rank", "exact")).alias("close"))
+
+
+@query(""", z AS (SELECT event_id AS i, qid AS item, row_number() OVER (ORDER BY event_id) - 1 AS i0 FROM loc), m AS (SELECT CAST(floor(max(i0) / 250) AS BIGINT) AS last FROM z),
+st AS (SELECT i0, item, unnest(range(CAST(floor(i0 / 250) AS BIGINT), (SELECT last FROM m) + 1)) AS step FROM z),
+tk2 AS (SELECT step, item, row_number() OVER (PARTITION BY step ORDER BY md5(concat(CAST(i0 AS VARCHAR), '|7')), i0) <= 200 AS taken FROM st),
+ct AS (SELECT step, item, count(*) AS exact, count(*) FILTER (taken) AS taken, sum(count(*)) OVER (PARTITION BY step) AS n, row_number() OVER (PARTITION BY step ORDER BY count(*) DESC, item) AS place FROM tk2 GROUP BY step, item)
+SELECT (step + 1) * 250 AS rows, round(avg(abs(taken * n / least(n, 200) - exact) / exact), 6) AS error FROM ct WHERE place <= 20 GROUP BY step""")
+def sk13_sampler_errors(spark, d):
+    items = files.with_rank(pts(spark, d), "event_id").select((F.col("rank") - 1).alias("i"), F.col("qid").alias("item"))
+    return shedding.sampler_errors(items, 200, 250).select("rows", r("error").alias("error"))
+
+
 @query("SELECT qid, count(DISTINCT oid) AS exact, true AS close FROM loc GROUP BY qid")
 def sk11_distinct_by_road(spark, d):
     out = sketches.distinct_by_item(pts(spark, d), "qid", "oid")
     return out.select("qid", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact") + 2).alias("close"))
 
 
-@query("SELECT count(DISTINCT oid) AS objects, true AS ordered FROM loc")
-def sk12_distinct_quantiles(spark, d):
-    """Only that the quantiles are in order; their values and ranks are in sk12_distinct_quantile_ranks."""
-    p = pts(spark, d)
-    q = sketches.distinct_quantiles(p.select("oid", (F.col("oid") * 2.0).alias("v")), "oid", "v", [0.25, 0.75])
-    return p.agg(F.countDistinct("oid").alias("objects")).join(F.broadcast(q)).select("objects", (F.col("quantiles")[0] <= F.col("quantiles")[1]).alias("ordered"))
-
-
 @query(""", n AS (SELECT oid, count(*) AS v FROM loc GROUP BY oid), s AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS share)
 SELECT share, CAST(quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9])[row_number() OVER (ORDER BY share)] AS BIGINT) AS value, count(*) AS objects, true AS close FROM n, s GROUP BY share""")
 def sk12_distinct_quantile_ranks(spark, d):

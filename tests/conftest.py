@@ -25,3 +25,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(scope="session")
+def wide():
+    """Tables with more objects than the schemes keep."""
+    return os.environ.get("TEST_WIDE_DIR", "/root/testdata/sf0.01")

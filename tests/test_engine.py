@@ -11,6 +11,7 @@ from streetflow.functions import geometry as G
 from streetflow.operators import accuracy, controller, segments, shedding, sketches, trajectory, windows
 from streetflow.plans.speeds import speed_query
 from streetflow.sources import files, generators, tables
+from streetflow.storage import get_text, put_text
 from streetflow.streaming import speeds as streaming
 
 SQUARE = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 1d, 'y', 0d), named_struct('x', 1d, 'y', 1d), named_struct('x', 0d, 'y', 1d))"
@@ -174,15 +175,70 @@ def test_stream_is_the_batch(spark, sf, tmp_path):
     assert got == want
 
 
-def test_adaptive_stream(spark, sf, tmp_path):
-    p = tables.locations(spark, sf).select("t", "oid", "x", "y", "qid").orderBy("t").toPandas()
-    (tmp_path / "in").mkdir()
-    for k in range(3):
-        p.iloc[k * 300 : (k + 1) * 300].to_csv(tmp_path / "in" / f"{k}.csv", sep=" ", header=False, index=False)
-    seen, known = [], sorted(set(p.oid))
-    ids = spark.createDataFrame([(int(o),) for o in known], "oid long")
-    c = controller.Controller(10.0, 1.0, 1, prediction=2)
-    measure = lambda batch, number: (number, 100.0, len(known))
-    q = streaming.adaptive(files.locations_stream(spark, str(tmp_path / "in")), c, measure, lambda n: shedding.smallest_ids(ids, n), lambda own, number: seen.append(own.count()))
-    q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(300)
-    assert seen[0] == 300 and seen[1] < 300
+def test_ranks_over_many_partitions(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        n = 200_000
+        rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") * 7919 % n).alias("t"), F.col("id").alias("event_id"), F.lit("x").alias("other"))
+        ranked = files.with_rank(rows, "t", "event_id")
+        got = ranked.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert tuple(got) == (n, n, 1, n)
+        # a row's place in the order of the whole input
+        pairs = ranked.select("rank", "t", "event_id").orderBy("rank").toPandas()
+        assert (pairs.sort_values(["t", "event_id"])["rank"].to_numpy() == pairs["rank"].to_numpy()).all()
+        assert files.with_rank(rows.limit(0), "t").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/state.json"
+    assert get_text(spark, path) is None
+    for text in ("one", "two\nlines"):
+        put_text(spark, path, text)
+        assert get_text(spark, path) == text
+
+
+@pytest.mark.parametrize(("value", "text"), [(-1.0, "-1"), (0.0, "0"), (12.3400001, "12.34"), (123456.7, "123457"), (1234567.0, "1.23457e+06"), (0.00001, "1e-05"), (10.0, "10"), (99.99999, "100")])
+def test_six_digits(spark, value, text):
+    assert spark.range(1).select(sinks.six_digits(F.lit(value))).first()[0] == text
+
+
+def test_printed_views(spark):
+    p = points(spark, [(1, 0.5, 450001.0, 4175001.0, 1), (1, 9.0, 450001.0, 4175001.0, 2), (2, 3.0, 450002.0, 4175002.0, 1)])
+    assert [r.line for r in sinks.printed_points(p).orderBy("t").collect()][0] == "<0.5, 1, 450001, 4.175e+06>"
+    assert {r.oid: r.line for r in sinks.printed_trajectories(p).collect()} == {1: "{(1 0) -> (2 9)}", 2: "{(1 3)}"}
+    assert [tuple(r) for r in sinks.printed_cells(p, EngineConfig()).collect()] == [(0, "1, 2")]
+    assert {r.oid: r.line for r in sinks.printed_synopses(segments.segments(p, "qid"), "qid").collect()} == {1: "(1)[0.5, 9]--->(2)[9, 9]", 2: "(1)[3, 3]"}
+    ring = "array(named_struct('x', 450100d, 'y', 4175100d), named_struct('x', 450900d, 'y', 4175100d), named_struct('x', 450500d, 'y', 4175900d))"
+    roads = spark.range(1, 8).selectExpr("cast(id as int) qid", f"{ring} AS ring")
+    assert [tuple(r) for r in sinks.printed_cell_roads(roads, EngineConfig()).collect()] == [(0, 7)] and sinks.printed_cell_roads(roads, EngineConfig(), 7).count() == 0
+
+
+def test_halves_go_away_from_zero():
+    assert [controller.rounded(x) for x in (0.5, 1.5, 2.5, -0.5, -2.5, 2.4, -2.6)] == [1, 2, 3, -1, -3, 2, -3]
+    # 0.5 / 100 * 100 = 0.5 goes up to 1, where halves to even would leave n as it is
+    c = controller.Controller(100.0, 5.0, 1, prediction=2)
+    c.active, c.n = True, 5
+    assert c.step(0, 90, 1000) == 6
+
+
+def test_controller_goes_on_from_its_state():
+    loads = [0.9, 1.0, 1.2, 1.4, 1.3, 0.6, 0.5]
+    whole, first = (controller.Controller(1.0, 0.05, 1, loads=3) for _ in range(2))
+    want = [whole.step(t, x, 50) for t, x in enumerate(loads)]
+    got = [first.step(t, x, 50) for t, x in enumerate(loads[:4])]
+    second = controller.Controller(1.0, 0.05, 1, loads=3)
+    second.resume(first.state())
+    assert got + [second.step(t, x, 50) for t, x in enumerate(loads[4:], 4)] == want
+
+
+def test_broadcast_or_not_is_the_same(spark, sf, monkeypatch):
+    p, roads = tables.locations(spark, sf), tables.roads(spark, sf, both_ways=True)
+    key = lambda: sorted((r.event_id, r.road) for r in trajectory.assign_roads(trajectory.with_previous(p), roads, EngineConfig()).select("event_id", "road").collect())
+    want = key()
+    monkeypatch.setattr(trajectory, "BROADCAST_VERTICES", 0)
+    assert key() == want
