@@ -318,7 +318,7 @@ def src12_axes(spark, d):
     return tables.axes(spark, d).select("qid", "win_range", "win_slide", "category", r("length", 4).alias("length"))
 
 
-DRAW = "('0x' || substr(md5(concat(CAST(id AS VARCHAR), '|{}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+DRAW = "('0x' || substr(md5(concat(CAST(id AS VARCHAR), '|draw|{}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 DRAWN = f"WITH u AS (SELECT id AS i, {DRAW.format(7)} AS u, {DRAW.format(8)} AS v FROM range(0, 2000) a(id))"
 
 
@@ -1114,18 +1114,18 @@ def sk10_quantiles(spark, d):
     return ranked.select("n", (F.abs(F.col("share") - 0.5) < 0.02).alias("close"))
 
 
-@query("SELECT share, true AS close FROM (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS share)")
+@query("SELECT place, true AS close FROM (SELECT unnest([0.1, 0.5, 0.9, 450400, 452000, 456000])::DOUBLE AS place)")
 def sk10_merged_digests(spark, d):
-    """Quantiles and ranks from two merged sketches, against the exact share of points up to the quantile."""
+    """Quantiles at three shares and ranks of three places from two merged sketches, against the exact shares of points up to them."""
     p = pts(spark, d)
     half = lambda k: p.where(F.col("oid") % 2 == k).agg(sketches.digest_of("x").alias(f"s{k}"))
-    shares = [0.1, 0.5, 0.9]
     both = half(0).join(F.broadcast(half(1))).select(sketches.merged("s0", "s1").alias("s"))
-    ranks = F.array(*[F.struct(F.lit(q).alias("share"), sketches.quantiles_of("s", shares)[k].alias("value")) for k, q in enumerate(shares)])
-    q = both.select("s", F.explode(ranks).alias("q")).select("q.share", "q.value", sketches.rank_of("s", "q.value").alias("rank"))
-    exact = p.join(F.broadcast(q)).groupBy("share", "rank").agg(F.avg((F.col("x") <= F.col("value")).cast("double")).alias("exact"))
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.03
-    return exact.select("share", (near("exact", "share") & near("rank", "exact")).alias("close"))
+    shares, places = [0.1, 0.5, 0.9], [450400.0, 452000.0, 456000.0]
+    asked = [F.struct(F.lit(q).alias("place"), F.lit(q).alias("said"), sketches.quantiles_of("s", shares)[k].alias("value")) for k, q in enumerate(shares)]
+    asked += [F.struct(F.lit(v).alias("place"), sketches.rank_of("s", f"{v}D").alias("said"), F.lit(v).alias("value")) for v in places]
+    q = both.select(F.explode(F.array(*asked)).alias("q")).select("q.*")
+    exact = p.join(F.broadcast(q)).groupBy("place", "said").agg(F.avg((F.col("x") <= F.col("value")).cast("double")).alias("exact"))
+    return exact.select("place", (F.abs(F.col("said") - F.col("exact")) < 0.03).alias("close"))
 
 
 @query(""", z AS (SELECT event_id AS i, qid AS item, row_number() OVER (ORDER BY event_id) - 1 AS i0 FROM loc), m AS (SELECT CAST(floor(max(i0) / 250) AS BIGINT) AS last FROM z),
