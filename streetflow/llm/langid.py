@@ -17,12 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
+from streetflow.llm.shared import on_path, tidy
 
 BUCKETS, ORDER, SMOOTHING = 1 << 16, 3, 0.5
+#: distinct values of lang that may be learned; a table with more has no languages there
+MOST_LANGS = 1024
 STEPS, NOTICEABLE = 10, 0.05
 #: bytes that are no letters: all ASCII but A-Z, a-z
 NO_LETTER = np.ones(256, bool)
@@ -46,8 +50,8 @@ def distinct_words(buf: np.ndarray, offs: np.ndarray):
     """Lower-cased bytes, starts and lengths of distinct words, each word's number among them, and each document's first word."""
     low = T.lower_ascii(buf)
     starts, lens, first = T.words(low, offs, NO_LETTER)
-    _, example, number = np.unique(T.hash_spans(low, starts, lens), return_index=True, return_inverse=True)
-    return low, starts[example], lens[example], number.reshape(-1), first
+    example, number = T.distinct(T.hash_spans(low, starts, lens))
+    return low, starts[example], lens[example], number, first
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -71,9 +75,11 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    sums = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
-    got = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
+    sums = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(tidy(count), "lang string, bucket long, n long")
+    got = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(BUCKETS * MOST_LANGS + 1).toArrow()
+    langs = sorted(set(pc.unique(got["lang"]).to_pylist()))
+    if len(langs) > MOST_LANGS or got.num_rows > BUCKETS * MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
         number = {lang: k for k, lang in enumerate(langs)}
@@ -117,6 +123,7 @@ def infer(ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs; documents with crc32(doc_id as text) mod folds = fold are held out."""
+    on_path(docs.sparkSession)
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), out.alias("held_out"))
     langs, table = learn(rows.where("not held_out"))
@@ -139,4 +146,4 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
                     best, score = np.where(none, best, got), np.where(none, 0.0, p)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), names.take(pa.array(best)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")

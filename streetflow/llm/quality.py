@@ -54,7 +54,7 @@ def repeats(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     own = np.sort(T.mix(h ^ T.mix(doc.astype(np.uint64) + np.uint64(1))) >> np.uint64(1))
     # the document of a repeated value is found again through the sorted keys of all values
     key = T.mix(h ^ T.mix(doc.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)
-    order = np.argsort(key)
+    order = T.order(key)
     again = np.zeros(len(key), bool)
     again[order[1:][own[1:] == own[:-1]]] = True
     return np.bincount(doc[again], minlength=n)

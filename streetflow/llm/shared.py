@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -14,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streetflow.storage import forget, shared_dir, table
+
+__all__ = ["components", "forget", "group_count", "on_path", "shared_dir", "shuffle_partitions", "size_in_bytes", "stars", "table", "tidy"]
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: estimates from here on stand for an unknown size
 UNKNOWN_SIZE = 1 << 55
@@ -51,23 +52,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='streetflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streetflow-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of the lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate, for a table read from files their size; where it has none, half the bytes of the texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -128,8 +112,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         down = large
         mins = least(down)
         small = down.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(mins.select("u", F.col("m").alias("v")))
-        e = table(small.where("u <> v").distinct())
+        old, e = e, table(small.where("u <> v").distinct())
         now = state(e)
+        forget(old)
         if now == was:
             break
         was = now

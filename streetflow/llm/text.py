@@ -92,6 +92,30 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int
         at, left = at[more] + 8, left[more] - 8
 
 
+def order(h: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A stable argsort of unsigned numbers below 2 ** bits. They are sorted together with their places in one word each, several times
+    faster than by comparison through an index; where both don't fit, by their upper bits, and ties of these are set right after."""
+    low = max(len(h) - 1, 1).bit_length()
+    place, h = np.arange(len(h), dtype=np.uint64), h.astype(np.uint64, copy=False)
+    mask = np.uint64((1 << low) - 1)
+    if bits + low <= 64:
+        return (np.sort((h << np.uint64(low)) | place) & mask).astype(np.int64)
+    out = (np.sort((h & ~mask) | place) & mask).astype(np.int64)
+    s = h[out]
+    return out[np.argsort(s, kind="stable")] if (s[1:] < s[:-1]).any() else out
+
+
+def distinct(h: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct number occurs first, in ascending order of the numbers, and every one's place among them."""
+    at = order(h, bits)
+    s = h[at]
+    new = np.ones(len(h), bool)
+    new[1:] = s[1:] != s[:-1]
+    number = np.empty(len(h), np.int64)
+    number[at] = np.cumsum(new) - 1
+    return at[new], number
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[i], ..., starts[i]+lens[i]-1 for all i, in order."""
     lens = lens.astype(np.int64)
