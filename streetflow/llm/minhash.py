@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import components, on_path, shuffle_partitions, stars, table, tidy
+from streetflow.llm.shared import components, forget, on_path, shuffle_partitions, stars, table, tidy
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 7, 6, 2, 16
@@ -63,11 +63,8 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.nd
         s = np.where(more, s * T._GOLD + h[np.minimum(at + j, max(len(h) - 1, 0))], s) if len(h) else s
     s = T.mix(s)
     own = T.mix(s ^ T.mix(doc.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(own)
-    new = np.ones(len(own), bool)
-    new[1:] = own[order][1:] != own[order][:-1]
     keep = np.zeros(len(own), bool)
-    keep[order[new]] = True
+    keep[T.distinct(own)[0]] = True
     return s[keep], np.searchsorted(doc[keep], np.arange(len(n) + 1))
 
 
@@ -133,8 +130,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 def list_keys(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 k = keys(matrix(part.column(1), np.uint16, SYMBOLS))
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), k.shape[1]))], ["key", "id"])
 
@@ -159,7 +156,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     """Of pairs (a, b) of documents, those whose full sets are similar enough."""
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").repartition("doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -173,7 +170,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 shared = both[1:][both[1:] == both[:-1]]
                 # the document of a shared shingle, by its place in the left set's own hashes
                 own = T.mix(x[0] ^ T.mix(doc[: len(x[0])] + np.uint64(1)))
-                order = np.argsort(own)
+                order = T.order(own)
                 inter = np.bincount(doc[: len(x[0])][order[np.searchsorted(own[order], shared)]].astype(np.int64), minlength=len(nx)) if len(shared) else np.zeros(len(nx), np.int64)
                 ok = (100 * inter >= percent * (nx + ny - inter)) & (inter > 0)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1)], ["a", "b"]).filter(pa.array(ok))
@@ -293,6 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     links = table(links.union(own))
     comps = components(links)
     open_edges = table(unresolved(members.select("key", "id"), comps, classes, percent))
+    forget(members)
     more = table(confirm_groups(open_edges, comps, docs, classes, k, percent))
     if not more.isEmpty():
         comps = components(links.union(more))
