@@ -6,7 +6,7 @@ token follows a start mark. The bigrams' shares c(u, w) / (c(u) + MASS) are quan
 probability is overstated.
 
 1. All learning documents' words are counted; word shards give them ids by frequency and keep their counts. N and V are their sums.
-2. Documents are dealt to groups by doc_id. A group asks the word shards once for each of its distinct words.
+2. Documents are dealt to groups by doc_id and text. A group asks the word shards once for each of its distinct words.
 3. With the ids it sends each distinct bigram, with its count in the group's learning documents, to a bigram shard. The shard adds the
    counts, builds its trie, maps it into memory and looks up every bigram that it was asked for. Bigrams of a word so frequent that it
    would fill a shard are dealt by their second word too; for the smoothing only c(u) is needed, which the groups have.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
 from streetflow.llm.eliasfano import Trie
-from streetflow.llm.shared import group_count, shuffle_partitions, table
+from streetflow.llm.shared import group_count, on_path, shuffle_partitions, table, tidy
 
 MASS, STEPS = 50.0, 20.0
+#: ids are kept in 32 bits on their way
+MOST_IDS = 1 << 32
 START, UNKNOWN, FIRST_ID = 0, 1, 2
 END = b"\n"
 
@@ -58,9 +60,15 @@ def distinct(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray
     """The distinct words, each word's number among them, and each document's first word."""
     low = T.lower_ascii(buf)
     starts, lens, first = T.words(low, offs)
-    _, example, number = np.unique(T.hash_spans(low, starts, lens), return_index=True, return_inverse=True)
+    example, number = T.distinct(T.hash_spans(low, starts, lens))
     raw = low.tobytes()
-    return [raw[i:j] for i, j in zip(starts[example].tolist(), (starts + lens)[example].tolist(), strict=True)], number.reshape(-1), first
+    return [raw[i:j] for i, j in zip(starts[example].tolist(), (starts + lens)[example].tolist(), strict=True)], number, first
+
+
+def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair occurs first, in order of (u, w), and every pair's place among them."""
+    high, low = int(u.max(initial=0)).bit_length(), int(w.max(initial=0)).bit_length()
+    return T.distinct((u.astype(np.uint64) << np.uint64(low)) | w.astype(np.uint64), high + low)
 
 
 def shard_of(words: list[bytes], shards: int) -> np.ndarray:
@@ -98,9 +106,8 @@ class Group:
         u = np.empty_like(w)
         u[1:] = w[:-1]
         u[self.ends - self.counts] = START
-        key, number = np.unique((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
-        number = number.reshape(-1)
-        return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.bincount(number, self.learns[self.doc], len(key)).astype(np.int64), number
+        first, number = distinct_pairs(u, w)
+        return u[first], w[first], np.bincount(number, self.learns[self.doc], len(first)).astype(np.int64), number
 
 
 def build_vocabulary(docs: DataFrame, shards: int) -> DataFrame:
@@ -124,13 +131,14 @@ def build_vocabulary(docs: DataFrame, shards: int) -> DataFrame:
         counts = np.fromiter((total[w] for w in ranked), "<i8", len(ranked))
         return pa.table({"shard": key[0:1], "n": pa.array([len(ranked)], pa.int32()), "words": pa.array([pack_words(ranked)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    sent = docs.select("text").mapInArrow(count, "shard int, n int, words binary, counts binary")
+    sent = docs.select("text").mapInArrow(tidy(count), "shard int, n int, words binary, counts binary")
     return sent.groupBy("shard").applyInArrow(merge, "shard int, n int, words binary, counts binary, tokens long")
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs; documents with crc32(doc_id as text)
     mod folds = fold are not learned from."""
+    on_path(docs.sparkSession)
     spark, groups = docs.sparkSession, group_count(docs, group_mb)
     width = shuffle_partitions(spark)
     shards = max(width, groups // 2)
@@ -140,7 +148,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
     sums = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
     total, space = int(sums["n"]), int(sums["n"] + sums["v"] + 1)
     often = max(1, total // (8 * shards))
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(width, "grp")
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(width, "grp")
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         g = Group(t)
@@ -153,6 +161,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         if known.num_rows:
             place = {w: k for k, w in enumerate(unpack_words(known["words"][0].as_py(), known["n"][0].as_py()))}
             counts = np.frombuffer(unsqueeze(known["counts"][0].as_py()), "<i8")
+            if FIRST_ID + len(place) * shards >= MOST_IDS:
+                raise OverflowError(f"a vocabulary of {len(place)} words in one of {shards} shards needs more than 32 bits")
         out = []
         for n, words in zip(asked["n"].to_pylist(), asked["words"].to_pylist(), strict=True):
             at = np.fromiter((place.get(w, -1) for w in unpack_words(words, n)), np.int64, n)
@@ -213,13 +223,13 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
             ws.append(np.frombuffer(body, "<u4", n, 4 + 16 * k).astype(np.int64))
             ns.append(np.frombuffer(body, "<u4", n, 4 + 16 * k + 4 * n).astype(np.int64))
         u, w, n, c = (np.concatenate(x) for x in (us, ws, ns, cs))
-        pairs, first, number = np.unique((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_index=True, return_inverse=True)
-        counts = np.bincount(number.reshape(-1), n, len(pairs))
-        grams = np.stack([(pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], 1)
+        first, number = distinct_pairs(u, w)
+        counts = np.bincount(number, n, len(first))
+        grams = np.stack([u[first], w[first]], 1)
         seen = counts > 0
         share = -np.log10(counts[seen] / (c[first][seen] + MASS))
         trie = Trie.build(grams[seen], np.minimum(np.ceil(share * STEPS), 254), int(grams.max(initial=0)) + 1).mapped()
-        got = trie.lookup(grams)[number.reshape(-1)]
+        got = trie.lookup(grams)[number]
         at = np.cumsum([0, *map(len, us)])
         return pa.table({"grp": t["grp"].cast(pa.int32()), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t["shard"].cast(pa.int32()), "n": t["n"].cast(pa.int32()), "block": pa.array([squeeze(got[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
 

@@ -1,9 +1,11 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 A document's ids are those of its whole text and one end id; null text is the empty text. Ids are cut into full pieces of
-`capacity` and one remainder, so each id lies in exactly one piece. Documents are dealt at random (by a hash of id and position in
-their input partition, the same at each run) to groups of about `group_docs` documents; in each group the pieces are placed,
-longest first, into the first sequence with room. A group's memory is bounded by its number of pieces, whatever the corpus.
+`capacity` and one remainder, so each id lies in exactly one piece. Documents are dealt at random, by a hash of id and position in
+their input partition, to groups of about `group_docs` documents, so that repeated rows are spread, too; in each group the pieces are
+placed, longest first, into the first sequence with room. A group's memory is bounded by its number of pieces, whatever the corpus. The
+pieces are written to the shared folder with their groups before they are shuffled: a task that runs again after that can't deal a row
+to another group, even if its input comes in another order.
 
 Empty table: no rows. Repeated rows and repeated ids: each row is packed as a document of its own. Null doc_id: packed, with a null
 doc_id in the result. Extra columns are ignored. Ties in length are placed in order of doc_id and start.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
 from streetflow.llm import tokens
+from streetflow.llm.shared import on_path, table, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,11 +94,12 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int, groups: int, ids
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES + ", ids array<int>" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut), PIECES + ", ids array<int>" * ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int = 4096, group_docs: int = 4096, ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most `capacity` ids: PACKED, and `ids` if asked for."""
+    on_path(docs.sparkSession)
     path = path or tokens.default_path("word_bpe_49k.json")
     groups = max(1, -(-docs.count() // group_docs))
 
@@ -105,7 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int =
         group = t["grp"][0].as_py()
         return t.drop_columns(["grp"]).append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offs)).select([c.split()[0] for c in PACKED.split(", ")] + ["ids"] * ids)
 
-    return pieces(docs, path, end, capacity, groups, ids).groupBy("grp").applyInArrow(place, PACKED + ", ids array<int>" * ids)
+    return table(pieces(docs, path, end, capacity, groups, ids)).groupBy("grp").applyInArrow(place, PACKED + ", ids array<int>" * ids)
 
 
 def padding(packed: DataFrame, capacity: int = 4096) -> DataFrame:

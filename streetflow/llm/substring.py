@@ -4,7 +4,11 @@ A window is `WINDOW` consecutive words of one document. Each window has a minimi
 consecutive windows with the same minimiser travel as one packed string, the super-k-mer, to the bucket of that minimiser, so that
 all occurrences of a window meet in one bucket and a string costs little more than its own words.
 
-1. Documents are dealt to groups by doc_id. A group sends each of its distinct super-k-mers once, with the smallest doc_id that has
+A minimiser whose super-k-mers would be much more than a bucket's share is split: its windows are known by the hash of all their words
+instead, and travel one by one. Which ones these are is found on a sample of the documents, a thousandth or SAMPLE_BYTES, and decides
+on partitions only: whatever it misses, all occurrences of a window still meet in one bucket.
+
+1. Documents are dealt to groups by doc_id and text. A group sends each of its distinct super-k-mers once, with the smallest doc_id that has
    it; those of one group and bucket are one compressed block. A copied passage therefore costs a bucket one string per group, not
    one per copy.
 2. A bucket sorts the windows of its distinct strings and takes the smallest doc_id of each. Sorting is by 64-bit hash; windows with
@@ -28,17 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import group_count, shuffle_partitions
+from streetflow.llm.shared import group_count, on_path, shuffle_partitions, size_in_bytes, table, tidy
 
 WINDOW, MINIMISER = 13, 2
 NO_ID = (1 << 63) - 1
+SAMPLE_BYTES = 16 << 20
+#: a minimiser with more than so many buckets' share of the words is split
+HOT = 4.0
 
 
 class Group:
     """The documents of a group in canonical order, their words one space apart, and the windows' super-k-mers."""
 
-    def __init__(self, t: pa.Table, window: int):
-        self.window = window
+    def __init__(self, t: pa.Table, window: int, hot: np.ndarray):
+        self.window, self.hot = window, hot
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = t
         self.doc_id = t["doc_id"].combine_chunks()
@@ -67,6 +74,12 @@ class Group:
             gram = gram * T._GOLD + self.h[k : len(self.h) - MINIMISER + 1 + k]
         gram = T.mix(gram)
         low = gram[T.sliding_argmin(gram, self.window - MINIMISER + 1)][self.win]
+        if len(self.hot):
+            split = np.flatnonzero(self.hot[np.minimum(np.searchsorted(self.hot, low), len(self.hot) - 1)] == low)
+            whole = np.zeros(len(split), np.uint64)
+            for k in range(self.window):
+                whole = whole * T._GOLD + self.h[self.win[split] + k]
+            low[split] = T.mix(whole)
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
         self.run_at = np.flatnonzero(new)
@@ -83,6 +96,25 @@ class Group:
         return list(known), where, number
 
 
+def hot_minimisers(docs: DataFrame, window: int, share: float) -> np.ndarray:
+    """The minimisers of more than `share` of the words of a sample's super-k-mers, at most 1 / share."""
+    parts = max(1, min(1000, size_in_bytes(docs) // SAMPLE_BYTES))
+    sample = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts)) == 0).select("doc_id", "text")
+
+    def tally(batches):
+        for batch in batches:
+            for chunk in T.chunks(batch):
+                g = Group(pa.Table.from_batches([chunk]), window, np.zeros(0, np.uint64))
+                first, number = T.distinct(g.mini)
+                words = np.bincount(number, g.run_len + window - 1, len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g.mini[first].view(np.int64)), pa.array(words)], ["mini", "words"])
+
+    counts = table(sample.mapInArrow(tidy(tally), "mini long, words long").groupBy("mini").agg(F.sum("words").alias("words")))
+    total = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("words") > share * total).select("mini").toArrow()
+    return np.sort(np.asarray(hot["mini"]).astype(np.int64).view(np.uint64))
+
+
 def pack_block(ids: np.ndarray, numbers: np.ndarray, strings: list[bytes]) -> bytes:
     body = ids.astype("<i8").tobytes() + numbers.astype("<i4").tobytes() + b"\n".join(strings)
     return zstandard.ZstdCompressor(level=3).compress(body)
@@ -107,7 +139,7 @@ def smallest_ids(strings: list[bytes], owner: np.ndarray, window: int) -> tuple[
     for k in range(window):
         key = key * T._GOLD + h[win + k]
     key = T.mix(key)
-    order = np.argsort(key)
+    order = T.order(key)
     same = np.zeros(len(win), bool)
     same[1:] = key[order][1:] == key[order][:-1]
     head = np.flatnonzero(~same)
@@ -138,14 +170,16 @@ def by_bytes(raw: bytes, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: tuple[str, ...] = (), group_mb: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with `texts` also kept_text (the text as it is, where no word
     goes) and removed, the word ranges [from, to) that go; and the columns `keep` of docs."""
+    on_path(docs.sparkSession)
     groups, parts = group_count(docs, group_mb), shuffle_partitions(docs.sparkSession)
     # a bucket's strings have about three times the words of its windows, so buckets are no fewer than groups where these are large
     buckets = max(parts, groups if groups > 2 * parts else groups // 2)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(parts, "grp")
+    hot = hot_minimisers(dealt, window, HOT / buckets)
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(parts, "grp")
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
-        g = Group(t, window)
+        g = Group(t, window, hot)
         strings, where, _ = g.strings()
         bucket = (g.mini[where] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -188,7 +222,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: tupl
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def merge(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(t, window)
+        g = Group(t, window, hot)
         _, where, number = g.strings()
         # windows in order of their runs; each string's windows have the smallest doc_id of the group until an answer says less
         length = g.run_len[where]

@@ -3,6 +3,9 @@
 A unit is a piece of text that the tokenizer's own pre-tokenisation would cut at both ends, whatever stands around it, so that
 encoding units one by one gives the ids of the whole text. Units are cut vectorised and looked up by 64-bit hash in a cache which
 lives as long as the Python worker; at MOST_UNITS units, or MOST_PIECES of their pieces, it starts anew, which bounds its memory and changes nothing in the result.
+
+Strings of the vocabulary's special tokens in a text are those tokens, as the library gives them without further settings. A document
+with such a string is one unit and goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -43,12 +46,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        # tokens that the library looks for in another way make every document a unit
+        plain = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
+        self.shortest = min(map(len, self.special), default=1 << 62)
         normal = json.dumps(spec["normalizer"] or "")
         split = json.dumps(spec["pre_tokenizer"] or "")
         self.kind = "byte" if spec["normalizer"] is None and spec["pre_tokenizer"].get("use_regex") else "word" if "Lowercase" in normal and "Removed" in split else "other"
+        self.kind = self.kind if plain else "other"
         self.model, self.table = self.tokenizer.model, {b: ord(c) for b, c in byte_alphabet().items()}
         self.find = regex.compile(BYTE_PATTERN if self.kind == "byte" else WORD_PATTERN).findall
         self.forget()
@@ -60,6 +67,31 @@ class Encoder:
 
     def cut(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the units of a chunk."""
+        starts, lens = self.cut_plain(buf, offs)
+        whole = self.with_special(buf, offs) if self.kind != "other" else []
+        if not len(whole):
+            return starts, lens
+        inside = np.isin(np.searchsorted(offs, starts, "right") - 1, whole)
+        starts, lens = np.concatenate([starts[~inside], offs[:-1][whole]]), np.concatenate([lens[~inside], np.diff(offs)[whole]])
+        order = np.argsort(starts, kind="stable")
+        return starts[order], lens[order]
+
+    def with_special(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The documents with a special token's string."""
+        raw, found = buf[: int(offs[-1])].tobytes(), []
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                d = int(np.searchsorted(offs, at, "right")) - 1
+                end = int(offs[d + 1])
+                if at + len(s) <= end:
+                    found.append(d)
+                    at = raw.find(s, end)
+                else:
+                    at = raw.find(s, at + 1)  # it crosses into the next document
+        return np.unique(np.array(found, np.int64))
+
+    def cut_plain(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = int(offs[-1])
         if self.kind == "word":
             return T.words(buf, offs)[:2]
@@ -81,6 +113,8 @@ class Encoder:
 
     def ids_of(self, unit: bytes) -> list[int]:
         s = unit.decode("utf-8", "replace")
+        if len(unit) >= self.shortest and any(t in unit for t in self.special):
+            return self.tokenizer.encode(s, add_special_tokens=False).ids
         if self.kind == "other" or not (s.isascii() or max(s) < "Ā"):
             return self.tokenizer.encode(s, add_special_tokens=False).ids
         if self.kind == "word":
@@ -121,11 +155,8 @@ class Encoder:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, lens = self.cut(buf, offs)
         h = T.hash_spans(buf, starts, lens)
-        order = np.argsort(h)
-        sorted_h = h[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = sorted_h[1:] != sorted_h[:-1]
-        keys, example = sorted_h[fresh], order[fresh]
+        example, number = T.distinct(h)
+        keys = h[example]
         if self.units > MOST_UNITS:
             self.forget()
         where = np.searchsorted(self.keys, keys)
@@ -137,8 +168,7 @@ class Encoder:
             s, e = starts[example[miss]], (starts + lens)[example[miss]]
             self.learn(keys[miss], [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)])
             where = np.searchsorted(self.keys, keys)
-        slot = np.empty(len(h), np.int64)
-        slot[order] = self.slot[where][np.cumsum(fresh) - 1] if len(h) else 0
+        slot = self.slot[where][number]
         size = self.size[slot]
         ids = self.pool[T.ragged(self.at[slot], size)]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
