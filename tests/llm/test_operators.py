@@ -480,3 +480,118 @@ def test_pipeline(spark, sf):
     packed = C.run(spark, sf)
     assert packed.where("start = 0").count() == n
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark, sf):
+    """From what the classifier accepts on, each stage's documents are those of the plain versions."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    stages = dict(C.STAGES)
+    now = shared.table(stages["quality classifier"](spark, docs, sf))
+    want = texts(now)
+    kept = {i for i, _, _, k in B.near(want) if k}
+    now, want = shared.table(stages["MinHash near-dedup"](spark, now, sf)), [x for x in want if x[0] in kept]
+    assert texts(now) == want
+    gone = {i: n for i, _, n, _ in B.substrings(want)}
+    now = shared.table(stages["substring dedup"](spark, now, sf))
+    got = dict(texts(now))
+    assert {i: t for i, t in want if not gone[i]} == {i: t for i, t in got.items() if not gone[i]}
+    sha = {i: h for i, _, _, h in B.substrings(want)}
+    import hashlib
+
+    assert all(hashlib.sha256(got[i].encode()).hexdigest() == sha[i] for i in got if gone[i]) and any(gone.values())
+    dirty = {r[0] for r in B.contamination(sorted(got.items()), items) if r[5]}
+    assert texts(stages["benchmark decontamination"](spark, now, sf)) == sorted(x for x in got.items() if x[0] not in dirty)
+
+
+def test_pipeline_stages_bear_odd_rows(spark, sf, frame, docs, nothing):
+    import corpus_pipeline as C
+
+    def columns(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    whole = sorted(((i, t) for i, t in docs), key=repr)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, frame, sf)
+        assert out.columns == list(C.COLUMNS), name
+        got = columns(out)
+        if name != "substring dedup":
+            assert set(got) <= set(whole), name  # rows go, texts stay
+        assert stage(spark, nothing, sf).count() == 0, name
+        if name == "MinHash near-dedup":
+            kept = {i for i, *_, k in B.near(docs) if k}
+            assert got == [x for x in whole if x[0] in kept]
+        if name == "substring dedup":
+            assert sorted((i for i, _ in got), key=repr) == sorted((i for i, _ in docs), key=repr) and (401, None) in got and (None, None) in got
+        if name == "benchmark decontamination":
+            assert got == whole
+    packed = C.STAGES[-1][1](spark, frame, sf)
+    assert packed.where("start = 0").count() == len(docs) and C.STAGES[-1][1](spark, nothing, sf).count() == 0
+
+
+def test_quality_on_hidden_labels(spark, sf):
+    """Half of the labels are given; the other half says how the scorers do on documents without one."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/{n}.parquet") for n in ("documents", "labels"))
+    given = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = quality.classify(docs, labels.where(given)).join(labels.where(~given), "doc_id").toPandas()
+    bad = (got.quality == 0) | (got.toxic == 1)
+    assert len(got) > 1500 and (~got.accepted)[bad].mean() > 0.8 and got.accepted[~bad].mean() > 0.95
+
+
+def plain_language(learned, texts):
+    """The mixture by loops, with n-grams themselves for their buckets."""
+    import math
+    import re
+    from collections import Counter
+
+    letters = re.compile(rb"[A-Za-z\x80-\xff]+")
+    spoken = lambda t: [w.lower() if w.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in letters.findall(t.encode())]
+    grams = lambda w: [(b"^" + w + b"$")[k : k + langid.ORDER] for k in range(len(w) + 3 - langid.ORDER)]
+    counts = {}
+    for t, lang in learned:
+        counts.setdefault(lang, Counter()).update(g for w in spoken(t) for g in grams(w))
+    langs = sorted(counts)
+    size = {x: sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in langs}
+    log = lambda g, x: math.log((counts[x][g] + langid.SMOOTHING) / size[x])
+    out = []
+    for t in texts:
+        ll = [[sum(log(g, x) for g in grams(w)) for x in langs] for w in spoken(t)]
+
+        def fit(allowed):
+            share = [a / sum(allowed) for a in allowed]
+            for _ in range(langid.STEPS):
+                post = []
+                for row in ll:
+                    like = [math.exp(v - max(row)) * s for v, s in zip(row, share, strict=True)]
+                    post.append([v / max(sum(like), 1e-300) for v in like])
+                share = [sum(p[k] for p in post) / len(ll) * allowed[k] for k in range(len(langs))]
+            total = sum(math.log(max(sum(math.exp(v - max(row)) * s for v, s in zip(row, share, strict=True)), 1e-300)) + max(row) for row in ll)
+            return share, total, [sum(p[k] for p in post) / len(ll) for k in range(len(langs))]
+
+        share, *_ = fit([1] * len(langs))
+        chosen = [int(s >= min(langid.NOTICEABLE, max(share))) for s in share]
+        mix, likely, post = fit(chosen)
+        alone = [sum(row[k] for row in ll) for k in range(len(langs))]
+        single = max(alone) >= likely - 0.5 * math.log(max(len(ll), 2)) * (sum(chosen) - 1)
+        best = alone.index(max(alone)) if single else mix.index(max(mix))
+        out.append((langs[best], (share if single else post)[best]))
+    return out
+
+
+def test_language_is_the_plain_mixture(spark):
+    """Documents in one language and in two, repeated rows, and columns whose names the operator uses itself."""
+    rng = random.Random(17)
+    speak = {"aa": ["abba", "cad", "bed"], "bb": ["zyx", "wuz", "vox"], "cc": ["été", "où"]}
+    say = lambda k, n: " ".join(rng.choice(speak[k]) for _ in range(n))
+    rows_ = [(i, say(k, 12), k) for i, k in enumerate(rng.choices(sorted(speak), k=60))]
+    rows_ += [(100 + i, say("aa", a) + " " + say("bb", b) + " ABBA", None) for i, (a, b) in enumerate([(1, 9), (9, 1), (5, 5), (3, 20), (20, 3)])]
+    rows_ += [rows_[0], (200, "cad zyx", None), (200, "cad zyx", None)]
+    learned = [(t, k) for i, t, k in rows_ if k and zlib.crc32(str(i).encode()) % 5]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows_], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.identify(frame).collect())
+    want = sorted((i, k, round(p, 4)) for (i, _, _), (k, p) in zip(rows_, plain_language(learned, [t for _, t, _ in rows_]), strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-3)
