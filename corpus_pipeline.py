@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents: the quality classifier drops the rows it
 rejects, near-dedup all but one document of each group, substring dedup the words of repeated passages (a text without any stays as
-it is), decontamination the contaminated rows. The last packs what is left.
+it is; in the others the words that stay are one space apart), decontamination the contaminated rows. The last packs what is left.
+
+Odd rows, in every stage: extra columns go, whatever their names; an empty table gives an empty table. A null text is the empty text:
+nothing near, repeated or contaminated is found in it, and it goes on as it is unless the classifier rejects it (substring dedup
+keeps it null). Rows with a null doc_id have no labels and no near copies, count as the last documents in substring dedup, and are
+judged by their text in decontamination. Rows of one doc_id are one document to near-dedup, which keeps all of them or none, and to
+substring dedup, which removes nothing from one for the other's sake; the other stages judge each row. Of equal documents the
+one with the smallest doc_id stays.
 """
 
 from __future__ import annotations
