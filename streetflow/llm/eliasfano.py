@@ -86,14 +86,15 @@ class EliasFano:
 class Trie:
     """Sorted n-grams as levels. Level k has the ids of its entries, in each parent's range relative to that parent's base, so that
     the whole level is one monotone sequence; monotone pointers give each entry's range in the next level; the last level has one
-    byte per n-gram."""
+    byte per n-gram, and the level above it may have a row of bytes per context."""
 
-    def __init__(self, ids: list[EliasFano], pointers: list[EliasFano], width: int, values: np.ndarray):
-        self.ids, self.pointers, self.width, self.values = ids, pointers, width, values
+    def __init__(self, ids: list[EliasFano], pointers: list[EliasFano], width: int, values: np.ndarray, contexts: np.ndarray):
+        self.ids, self.pointers, self.width, self.values, self.contexts = ids, pointers, width, values, contexts
 
     @classmethod
-    def build(cls, grams: np.ndarray, values: np.ndarray, width: int) -> Trie:
-        """grams: (n, order) ids below width, in lexicographic order, without repeats."""
+    def build(cls, grams: np.ndarray, values: np.ndarray, width: int, contexts: np.ndarray | None = None) -> Trie:
+        """grams: (n, order) ids below width, in lexicographic order, without repeats. contexts: a row for each distinct n-gram
+        without its last id, in order."""
         n, order = grams.shape
         if n and int(grams.max()) >= width:
             raise ValueError(f"an id of {int(grams.max())} in a trie for ids below {width}")
@@ -107,33 +108,54 @@ class Trie:
                 pointers.append(EliasFano.encode(first, len(heads) + 1))
             ids.append(EliasFano.encode(parent[heads] * width + grams[heads, k], before * width))
             parent, before = np.cumsum(new) - 1, len(heads)
-        return cls(ids, pointers, width, values.astype(np.uint8))
+        rows = np.zeros((ids[-2].n if order > 1 else 1, 0)) if contexts is None else contexts
+        return cls(ids, pointers, width, values.astype(np.uint8), rows.astype(np.uint8))
+
+    def places(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Each n-gram's entry on every level, -1 from where it isn't in the trie: level by level the successor in its context's
+        range, once for each run of n-grams that begin alike."""
+        n = len(grams)
+        at, alive, run, out = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), []
+        run[:1] = True
+        for k, level in enumerate(self.ids):
+            run[1:] |= grams[1:, k] != grams[:-1, k]
+            q = np.flatnonzero(run)
+            found = np.full(len(q), -1, np.int64)
+            some = np.flatnonzero(alive[q]) if level.n else q[:0]
+            if len(some):
+                x = at[q[some]] * self.width + grams[q[some], k]
+                i = level.successor(x)
+                hit = i < level.n
+                if k and hit.any():
+                    hit &= i < self.pointers[k - 1].access(np.minimum(at[q[some]] + 1, self.pointers[k - 1].n - 1))
+                hit[hit] = level.access(i[hit]) == x[hit]
+                found[some[hit]] = i[hit]
+            at = found[np.cumsum(run) - 1]
+            alive = at >= 0
+            out.append(at)
+        return out
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """The byte of each n-gram, 255 where there is none: level by level the successor in its context's range."""
-        at, alive = np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
-        for k, level in enumerate(self.ids):
-            q = np.flatnonzero(alive)
-            if not len(q) or not level.n:
-                return np.full(len(grams), 255, np.uint8)
-            x = at[q] * self.width + grams[q, k]
-            i = level.successor(x)
-            hit = i < level.n
-            if k and hit.any():
-                hit &= i < self.pointers[k - 1].access(np.minimum(at[q] + 1, self.pointers[k - 1].n - 1))
-            hit[hit] = level.access(i[hit]) == x[hit]
-            alive[q[~hit]] = False
-            at[q[hit]] = i[hit]
+        """The byte of each n-gram, 255 where there is none."""
+        at = self.places(grams)[-1]
         out = np.full(len(grams), 255, np.uint8)
-        out[alive] = self.values[at[alive]]
+        out[at >= 0] = self.values[at[at >= 0]]
         return out
 
+    def lookup_contexts(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The byte of each n-gram and the row of its context, 255 where there is none."""
+        *_, context, at = self.places(grams)
+        out, rows = np.full(len(grams), 255, np.uint8), np.full((len(grams), self.contexts.shape[1]), 255, np.uint8)
+        out[at >= 0] = self.values[at[at >= 0]]
+        rows[context >= 0] = self.contexts[context[context >= 0]]
+        return out, rows
+
     def size(self) -> int:
-        return sum(a.nbytes for e in [*self.ids, *self.pointers] for a in e.arrays()) + self.values.nbytes
+        return sum(a.nbytes for e in [*self.ids, *self.pointers] for a in e.arrays()) + self.values.nbytes + self.contexts.nbytes
 
     def mapped(self) -> Trie:
         """The same trie with its levels in a memory-mapped file that is already unlinked, so nothing is left behind."""
-        parts = [a for e in [*self.ids, *self.pointers] for a in e.arrays()] + [self.values]
+        parts = [a for e in [*self.ids, *self.pointers] for a in e.arrays()] + [self.values, self.contexts]
         handle, name = tempfile.mkstemp(prefix="trie-")
         offsets = []
         with os.fdopen(handle, "wb") as f:
@@ -145,4 +167,4 @@ class Trie:
         views = [np.memmap(name, a.dtype, "r", o, a.shape) if a.size else a for a, o in zip(parts, offsets, strict=True)]
         os.unlink(name)
         made = [EliasFano(*(np.asarray(v) for v in views[3 * k : 3 * k + 3]), e.n, e.bits) for k, e in enumerate([*self.ids, *self.pointers])]
-        return Trie(made[: len(self.ids)], made[len(self.ids) :], self.width, np.asarray(views[-1]))
+        return Trie(made[: len(self.ids)], made[len(self.ids) :], self.width, np.asarray(views[-2]), np.asarray(views[-1]))

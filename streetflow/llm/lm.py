@@ -1,18 +1,25 @@
 """LM scoring by an n-gram trie in Elias-Fano levels (streetflow.llm.eliasfano), in shards.
 
-Tokens are a text's words, A-Z lower-cased, and one end. The model gives a token w after u the probability
-(c(u, w) + MASS * p(w)) / (c(u) + MASS) with p(w) = (c(w) + 1) / (N + V + 1); counts are those of the learning documents, the first
-token follows a start mark. The bigrams' shares c(u, w) / (c(u) + MASS) are quantised to one byte, rounded down, so that no word's
-probability is overstated.
+Tokens are a text's words, A-Z lower-cased, and one end; the first token follows a start mark. The model is a back-off model of order 3
+over the counts c of the learning documents, without cutoffs:
+
+- p(w | u, v) = (c(u, v, w) - DISCOUNT) / c(u, v) where the trigram was seen, else b(u, v) * p(w | v) with
+  b(u, v) = DISCOUNT * t(u, v) / c(u, v) for t different words seen after (u, v), and b = 1 after an unseen (u, v);
+- p(w | u) = c(u, w) / (c(u) + MASS) where the bigram was seen, else MASS / (c(u) + MASS) * p(w);
+- p(w) = (c(w) + 1) / (N + V + 1), from the vocabulary's shards.
+
+The tries hold these smoothed probabilities of trigrams and bigrams and the weights b, each quantised to one byte and rounded down, so
+that no word's probability is overstated. MASS was chosen on sf0.1's held-out documents; DISCOUNT is the usual one.
 
 1. All learning documents' words are counted; word shards give them ids by frequency and keep their counts. N and V are their sums.
 2. Documents are dealt to groups by doc_id and text. A group asks the word shards once for each of its distinct words.
-3. With the ids it sends each distinct bigram, with its count in the group's learning documents, to a bigram shard. The shard adds the
-   counts, builds its trie, maps it into memory and looks up every bigram that it was asked for. Bigrams of a word so frequent that it
-   would fill a shard are dealt by their second word too; for the smoothing only c(u) is needed, which the groups have.
+3. With the ids it sends each distinct trigram, with its count in the group's learning documents, to the shard of its first word; its
+   bigrams are these trigrams' heads. The shard adds the counts, builds its trie, maps it into memory and looks up every trigram that it
+   was asked for. Trigrams of a first word so frequent that it would fill a shard are dealt by their second word too; for the bigrams'
+   smoothing only c(u) is needed, which the groups have.
 4. The groups score their documents with the answers.
 
-What a shard gets from a group is a block of distinct words or bigrams, however often the group has them. Nothing is collected but N
+What a shard gets from a group is a block of distinct words or trigrams, however often the group has them. Nothing is collected but N
 and V. Null text is empty (its end only). Null doc_id: crc32 of the empty text, hence a learning document. Rows of equal doc_id are
 scored each. Empty table: no rows. Extra columns are ignored.
 """
@@ -31,10 +38,12 @@ from streetflow.llm import text as T
 from streetflow.llm.eliasfano import Trie
 from streetflow.llm.shared import group_count, on_path, shuffle_partitions, table, tidy
 
-MASS, STEPS = 50.0, 20.0
+MASS, DISCOUNT, STEPS = 200.0, 0.75, 20.0
 #: ids are kept in 32 bits on their way
 MOST_IDS = 1 << 32
 START, UNKNOWN, FIRST_ID = 0, 1, 2
+#: the third id where no known word follows; the start mark follows nothing
+NOTHING = START
 END = b"\n"
 
 
@@ -46,6 +55,27 @@ def unsqueeze(block: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(block)
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The numbers' first bytes, then their second bytes and so on, which compress better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def unplanes(body: bytes, dtype: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    """n numbers from planes at a place, and the place after them."""
+    size = np.dtype(dtype).itemsize
+    a = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(a.T).view(dtype).reshape(n), at + n * size
+
+
+def byte(p: np.ndarray) -> np.ndarray:
+    """Probabilities as bytes, rounded down."""
+    return np.minimum(np.ceil(-np.log10(p) * STEPS), 254).astype(np.uint8)
+
+
+def unbyte(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-code.astype(np.float64) / STEPS)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     return squeeze(np.fromiter(map(len, words), "<i4", len(words)), np.frombuffer(b"".join(words), np.uint8))
 
@@ -100,14 +130,20 @@ class Group:
         self.tokens[keep] = number
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (u, w) by id, sorted, the count of each in learning documents, and each token's bigram."""
-        w = ids[self.tokens]
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams (u, v) by id, sorted, and each token's; distinct trigrams as (bigram, w), sorted, the count of each in
+        learning documents, and the trigram that begins with each token's bigram. w is NOTHING where no known word follows."""
+        v = ids[self.tokens]
+        u = np.empty_like(v)
+        u[1:] = v[:-1]
         u[self.ends - self.counts] = START
-        first, number = distinct_pairs(u, w)
-        return u[first], w[first], np.bincount(number, self.learns[self.doc], len(first)).astype(np.int64), number
+        w = np.empty_like(v)
+        w[:-1] = v[1:]
+        w[self.ends - 1] = NOTHING
+        w[w == UNKNOWN] = NOTHING
+        first, bigram = distinct_pairs(u, v)
+        head, trigram = distinct_pairs(bigram, w)
+        return u[first], v[first], bigram, bigram[head], w[head], np.bincount(trigram, self.learns[self.doc], len(head)).astype(np.int64), trigram
 
 
 def build_vocabulary(docs: DataFrame, shards: int) -> DataFrame:
@@ -192,8 +228,14 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         out = np.where(u == UNKNOWN, 0, out)
         return np.where(u == START, counts[len(g.words) - 1], out)
 
-    def bigram_shards(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (T.mix(u.astype(np.uint64) + np.where(c > often, T.mix(w.astype(np.uint64) + np.uint64(7)), 0).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    def context_shards(u: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (T.mix(u.astype(np.uint64) + np.where(c > often, T.mix(v.astype(np.uint64) + np.uint64(7)), 0).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+    def dealt_trigrams(u: np.ndarray, v: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The shards and the trigrams, given by their bigrams b, that each is asked for: those of known words."""
+        useful = np.flatnonzero(((u != UNKNOWN) & (v != UNKNOWN))[b])
+        which, members = parts(context_shards(u, v, c)[b[useful]])
+        return which, [useful[m] for m in members]
 
     def rows_of(t: pa.Table) -> list[tuple[int, int, int, bytes]]:
         return list(zip(*(t[c].to_pylist() for c in ("kind", "shard", "n", "block")), strict=True))
@@ -201,56 +243,88 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
     def send(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         g = Group(t)
         ids, counts = known_words(g, rows_of(answers))
-        u, w, n, _ = g.bigrams(ids)
+        u, v, _, b, w, n, _ = g.grams(ids)
         c = context_counts(g, ids, counts, u)
-        useful = np.flatnonzero((u != UNKNOWN) & (w != UNKNOWN))
-        which, members = parts(bigram_shards(u[useful], w[useful], c[useful]))
+        which, members = dealt_trigrams(u, v, c, b)
         blocks = []
         for m in members:
-            m = useful[m]
-            new = np.flatnonzero(np.diff(u[m], prepend=-1))
-            blocks.append(squeeze(np.array([len(new)], "<i4"), np.diff(u[m][new], prepend=0).astype("<u4"), c[m][new].astype("<i8"), np.diff(new, append=len(m)).astype("<u4"), w[m].astype("<u4"), n[m].astype("<u4")))
+            heads = np.flatnonzero(np.diff(b[m], prepend=-1))
+            pair = b[m][heads]
+            new = np.flatnonzero(np.diff(u[pair], prepend=-1))
+            blocks.append(squeeze(
+                np.array([len(new), len(heads)], "<i4"), planes(np.diff(u[pair][new], prepend=0).astype("<u4")), planes(c[pair][new].astype("<i8")), planes(np.diff(new, append=len(heads)).astype("<u4")),
+                planes(v[pair].astype("<u4")), planes(np.diff(heads, append=len(m)).astype("<u4")), planes(w[m].astype("<u4")), planes(n[m].astype("<u4")),
+            ))
         return pa.table({"shard": pa.array(which.astype(np.int32)), "grp": pa.array([key[0].as_py()] * len(which), pa.int32()), "n": pa.array([len(m) for m in members], pa.int32()), "block": pa.array(blocks, pa.binary())})
 
+    def unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """u, c(u) and v of a block's bigrams, its trigrams' bigrams, w and counts."""
+        body = unsqueeze(block)
+        (k, m), at = np.frombuffer(body, "<i4", 2).tolist(), 8
+        u, at = unplanes(body, "<u4", k, at)
+        c, at = unplanes(body, "<i8", k, at)
+        pairs, at = unplanes(body, "<u4", k, at)
+        v, at = unplanes(body, "<u4", m, at)
+        triples, at = unplanes(body, "<u4", m, at)
+        w, at = unplanes(body, "<u4", n, at)
+        counts, at = unplanes(body, "<u4", n, at)
+        return np.repeat(np.cumsum(u.astype(np.int64)), pairs), np.repeat(c, pairs), v.astype(np.int64), np.repeat(np.arange(m), triples), w, counts
+
     def look_up(key: tuple, t: pa.Table) -> pa.Table:
-        us, ws, ns, cs = [], [], [], []
-        for n, block in zip(t["n"].to_pylist(), t["block"].to_pylist(), strict=True):
-            body = unsqueeze(block)
-            k = int(np.frombuffer(body, "<i4", 1)[0])
-            run = np.frombuffer(body, "<u4", k, 4 + 12 * k)
-            us.append(np.repeat(np.cumsum(np.frombuffer(body, "<u4", k, 4).astype(np.int64)), run))
-            cs.append(np.repeat(np.frombuffer(body, "<i8", k, 4 + 4 * k), run))
-            ws.append(np.frombuffer(body, "<u4", n, 4 + 16 * k).astype(np.int64))
-            ns.append(np.frombuffer(body, "<u4", n, 4 + 16 * k + 4 * n).astype(np.int64))
-        u, w, n, c = (np.concatenate(x) for x in (us, ws, ns, cs))
-        first, number = distinct_pairs(u, w)
-        counts = np.bincount(number, n, len(first))
-        grams = np.stack([u[first], w[first]], 1)
-        seen = counts > 0
-        share = -np.log10(counts[seen] / (c[first][seen] + MASS))
-        trie = Trie.build(grams[seen], np.minimum(np.ceil(share * STEPS), 254), int(grams.max(initial=0)) + 1).mapped()
-        got = trie.lookup(grams)[number]
-        at = np.cumsum([0, *map(len, us)])
-        return pa.table({"grp": t["grp"].cast(pa.int32()), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t["shard"].cast(pa.int32()), "n": t["n"].cast(pa.int32()), "block": pa.array([squeeze(got[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
-
-    pairs = dealt.groupBy("grp").cogroup(word_answers.groupBy("grp")).applyInArrow(send, "shard int, grp int, n int, block binary")
-    pair_answers = pairs.groupBy("shard").applyInArrow(look_up, answer)
+        asked = [unpack(block, n) for n, block in zip(t["n"].to_pylist(), t["block"].to_pylist(), strict=True)]
+        pairs, triples = np.cumsum([0, *(len(a[0]) for a in asked)]), np.cumsum([0, *(len(a[3]) for a in asked)])
+        u, c, v = (np.concatenate([a[k] for a in asked]) for k in range(3))
+        b = np.concatenate([a[3] + p for a, p in zip(asked, pairs.tolist(), strict=False)])
+        w, n = (np.concatenate([a[k] for a in asked]) for k in (4, 5))
+        asked.clear()
+        first, bigram = distinct_pairs(u, v)
+        u, c, v = u[first], c[first], v[first]
+        head, trigram = distinct_pairs(bigram[b], w)
+        counts = np.bincount(trigram, n, len(head))
+        pair, third = bigram[b[head]], w[head].astype(np.int64)
+        begin = np.flatnonzero(np.diff(pair, prepend=-1))
+        total = np.add.reduceat(counts, begin)  # c(u, v) of every bigram, in order
+        kinds = np.add.reduceat(((counts > 0) & (third != NOTHING)).astype(np.int64), begin)
+        grams = np.stack([u[pair], v[pair], third], 1)
+        seen, met = counts > 0, total > 0
+        words = seen & (third != NOTHING)
+        value = np.full(len(counts), 254, np.uint8)
+        value[words] = byte((counts[words] - DISCOUNT) / total[pair[words]])
+        weight = np.full(len(total), 254, np.uint8)
+        on = kinds > 0
+        weight[on] = byte(DISCOUNT * kinds[on] / total[on])
+        trie = Trie.build(grams[seen], value[seen], int(grams.max(initial=0)) + 1, np.stack([byte(total[met] / (c[met] + MASS)), weight[met]], 1)).mapped()
+        got, rows = trie.lookup_contexts(grams)
+        got, rows = got[trigram], rows[begin][bigram]
+        out = [squeeze(got[i:j], rows[p:q, 0], rows[p:q, 1]) for i, j, p, q in zip(triples[:-1].tolist(), triples[1:].tolist(), pairs[:-1].tolist(), pairs[1:].tolist(), strict=True)]
+        return pa.table({"grp": t["grp"].cast(pa.int32()), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t["shard"].cast(pa.int32()), "n": t["n"].cast(pa.int32()), "block": pa.array(out, pa.binary())})
+
+    grams = dealt.groupBy("grp").cogroup(word_answers.groupBy("grp")).applyInArrow(send, "shard int, grp int, n int, block binary")
+    gram_answers = grams.groupBy("shard").applyInArrow(look_up, answer)
 
     def rate(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         g, got = Group(t), rows_of(answers)
         ids, counts = known_words(g, got)
-        u, w, _, number = g.bigrams(ids)
+        u, v, bigram, b, w, _, trigram = g.grams(ids)
         c = context_counts(g, ids, counts, u)
-        useful = np.flatnonzero((u != UNKNOWN) & (w != UNKNOWN))
-        which, members = parts(bigram_shards(u[useful], w[useful], c[useful]))
+        which, members = dealt_trigrams(u, v, c, b)
         where = dict(zip(which.tolist(), members, strict=True))
-        code = np.full(len(u), 255, np.int64)
+        three, two, weight = np.full(len(b), 255, np.uint8), np.full(len(u), 255, np.uint8), np.full(len(u), 255, np.uint8)
         for kind, shard, n, block in got:
             if kind == 1:
-                code[useful[where[shard]]] = np.frombuffer(unsqueeze(block), np.uint8, n)
-        share = np.where(code < 255, 10.0 ** (-code / STEPS), 0.0)
+                m, body = where[shard], np.frombuffer(unsqueeze(block), np.uint8)
+                pair = b[m][np.diff(b[m], prepend=-1) > 0]
+                three[m], two[pair], weight[pair] = body[:n], body[n : n + len(pair)], body[n + len(pair) :]
         own = (counts[g.tokens] + 1) / space
-        p = share[number] + MASS / (c[number] + MASS) * own
+        p = np.where(two < 255, unbyte(two), MASS / (c + MASS))[bigram]
+        p = np.where(two[bigram] < 255, p, p * own)
+        inner = np.ones(len(p), bool)
+        inner[g.ends - g.counts] = False
+        now = np.flatnonzero(inner)
+        code, past = three[trigram[now - 1]], weight[bigram[now - 1]]
+        # NOTHING is no word: what was asked for it is the bigram's
+        seen = (code < 255) & (w[trigram[now - 1]] != NOTHING)
+        p[now] = np.where(seen, unbyte(code), np.where(past < 255, unbyte(past), 1.0) * p[now])
         at = g.ends - g.counts
         known = (counts[g.tokens] > 0).astype(np.int64)
         return pa.table({
@@ -258,6 +332,6 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
             "train_tokens": pa.array([total] * len(at), pa.int64()), "base_score": pa.array(np.add.reduceat(np.log10(own), at)), "score": pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), at)),
         })
 
-    answers = word_answers.union(pair_answers)
+    answers = word_answers.union(gram_answers)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(rate, schema)

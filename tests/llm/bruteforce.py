@@ -78,19 +78,27 @@ def contamination(docs, items, window=13):
     return out
 
 
-def lm(docs, mass=50.0, steps=20.0):
+def lm(docs, mass=200.0, discount=0.75, steps=20.0):
+    def down(p):
+        return 10 ** (-min(math.ceil(-math.log10(p) * steps), 254) / steps)
+
     tokens = [(i, [*SPACED.findall((t or "").translate(LOWER)), "\n"], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t in docs]
     c = Counter(w for _, t, held in tokens if not held for w in t)
     pairs = Counter(p for _, t, held in tokens if not held for p in zip(["\t", *t[:-1]], t, strict=True))
+    triples = Counter(p for _, t, held in tokens if not held for p in zip(["\t", *t], t, t[1:]))
+    kinds = Counter(p[:2] for p in triples)
     total, learned = sum(c.values()), sum(not held for *_, held in tokens)
     space, out = total + len(c) + 1, []
     for i, t, held in tokens:
         base = sum(math.log10((c[w] + 1) / space) for w in t)
         score = 0.0
-        for u, w in zip(["\t", *t[:-1]], t, strict=True):
+        for s, u, w in zip([None, "\t", *t], ["\t", *t], t):
             cu = learned if u == "\t" else c[u]
-            k = pairs[u, w] if cu else 0
-            share = 10 ** (-min(math.ceil(-math.log10(k / (cu + mass)) * steps), 254) / steps) if k else 0.0
-            score += math.log10(min(1.0, share + mass / (cu + mass) * (c[w] + 1) / space))
+            p = down(pairs[u, w] / (cu + mass)) if pairs[u, w] else mass / (cu + mass) * (c[w] + 1) / space
+            if triples[s, u, w]:
+                p = down((triples[s, u, w] - discount) / pairs[s, u])
+            elif pairs[s, u]:
+                p *= down(discount * kinds[s, u] / pairs[s, u])
+            score += math.log10(min(1.0, p))
         out.append((i, held, len(t), sum(c[w] > 0 for w in t), total, base, score))
     return out
