@@ -26,7 +26,8 @@ scored each. Empty table: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
 from streetflow.llm.eliasfano import Trie
-from streetflow.llm.shared import group_count, on_path, shuffle_partitions, table, tidy
+from streetflow.llm.shared import group_count, let_go, on_path, shuffle_partitions, table, tidy
 
 MASS, DISCOUNT, STEPS = 200.0, 0.75, 20.0
 #: ids are kept in 32 bits on their way
@@ -76,6 +77,25 @@ def unbyte(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (-code.astype(np.float64) / STEPS)
 
 
+def leaving(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run for a group, after which the worker lets its memory go; this has as many parameters as run, for Spark counts them."""
+    if len(inspect.signature(run).parameters) == 2:
+
+        def left(key: tuple, t: pa.Table) -> pa.Table:
+            out = run(key, t)
+            let_go()
+            return out
+
+        return left
+
+    def left_two(key: tuple, t: pa.Table, other: pa.Table) -> pa.Table:
+        out = run(key, t, other)
+        let_go()
+        return out
+
+    return left_two
+
+
 def pack_words(words: list[bytes]) -> bytes:
     return squeeze(np.fromiter(map(len, words), "<i4", len(words)), np.frombuffer(b"".join(words), np.uint8))
 
@@ -268,7 +288,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         triples, at = unplanes(body, "<u4", m, at)
         w, at = unplanes(body, "<u4", n, at)
         counts, at = unplanes(body, "<u4", n, at)
-        return np.repeat(np.cumsum(u.astype(np.int64)), pairs), np.repeat(c, pairs), v.astype(np.int64), np.repeat(np.arange(m), triples), w, counts
+        return np.repeat(np.cumsum(u, dtype=np.uint32), pairs), np.repeat(c, pairs), v, np.repeat(np.arange(m, dtype=np.int32), triples), w, counts
 
     def look_up(key: tuple, t: pa.Table) -> pa.Table:
         asked = [unpack(block, n) for n, block in zip(t["n"].to_pylist(), t["block"].to_pylist(), strict=True)]
@@ -279,13 +299,15 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         asked.clear()
         first, bigram = distinct_pairs(u, v)
         u, c, v = u[first], c[first], v[first]
-        head, trigram = distinct_pairs(bigram[b], w)
+        b = bigram[b]
+        head, trigram = distinct_pairs(b, w)
         counts = np.bincount(trigram, n, len(head))
-        pair, third = bigram[b[head]], w[head].astype(np.int64)
+        pair, third = b[head], w[head]
+        del first, b, w, n, head
         begin = np.flatnonzero(np.diff(pair, prepend=-1))
         total = np.add.reduceat(counts, begin)  # c(u, v) of every bigram, in order
         kinds = np.add.reduceat(((counts > 0) & (third != NOTHING)).astype(np.int64), begin)
-        grams = np.stack([u[pair], v[pair], third], 1)
+        grams = np.stack([u[pair], v[pair], third], 1, dtype=np.int64)
         seen, met = counts > 0, total > 0
         words = seen & (third != NOTHING)
         value = np.full(len(counts), 254, np.uint8)
@@ -294,13 +316,15 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         on = kinds > 0
         weight[on] = byte(DISCOUNT * kinds[on] / total[on])
         trie = Trie.build(grams[seen], value[seen], int(grams.max(initial=0)) + 1, np.stack([byte(total[met] / (c[met] + MASS)), weight[met]], 1)).mapped()
+        del seen, met, words, value, weight, on, kinds, total, counts
         got, rows = trie.lookup_contexts(grams)
+        del grams, pair, third, trie
         got, rows = got[trigram], rows[begin][bigram]
         out = [squeeze(got[i:j], rows[p:q, 0], rows[p:q, 1]) for i, j, p, q in zip(triples[:-1].tolist(), triples[1:].tolist(), pairs[:-1].tolist(), pairs[1:].tolist(), strict=True)]
         return pa.table({"grp": t["grp"].cast(pa.int32()), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t["shard"].cast(pa.int32()), "n": t["n"].cast(pa.int32()), "block": pa.array(out, pa.binary())})
 
-    grams = dealt.groupBy("grp").cogroup(word_answers.groupBy("grp")).applyInArrow(send, "shard int, grp int, n int, block binary")
-    gram_answers = grams.groupBy("shard").applyInArrow(look_up, answer)
+    grams = dealt.groupBy("grp").cogroup(word_answers.groupBy("grp")).applyInArrow(leaving(send), "shard int, grp int, n int, block binary")
+    gram_answers = grams.groupBy("shard").applyInArrow(leaving(look_up), answer)
 
     def rate(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         g, got = Group(t), rows_of(answers)
@@ -334,4 +358,4 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
 
     answers = word_answers.union(gram_answers)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(rate, schema)
+    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(leaving(rate), schema)

@@ -233,6 +233,30 @@ def test_elias_fano():
     assert trie.lookup(ask).tolist() == [known.get(tuple(g), 255) for g in ask.tolist()]
 
 
+def test_trie_contexts():
+    rng = np.random.default_rng(9)
+    grams = np.unique(rng.integers(0, 30, (2000, 3)), axis=0)
+    heads = np.unique(grams[:, :2], axis=0)
+    values, rows = rng.integers(0, 255, len(grams)), rng.integers(0, 255, (len(heads), 2))
+    trie = eliasfano.Trie.build(grams, values, 30, rows).mapped()
+    value = {tuple(g): v for g, v in zip(grams.tolist(), values.tolist(), strict=True)}
+    row = {tuple(h): r for h, r in zip(heads.tolist(), rows.tolist(), strict=True)}
+    for ask in (rng.integers(0, 30, (3000, 3)), np.unique(rng.integers(0, 30, (3000, 3)), axis=0), np.zeros((0, 3), np.int64)):
+        got, contexts = trie.lookup_contexts(ask)
+        assert got.tolist() == [value.get(tuple(g), 255) for g in ask.tolist()]
+        assert contexts.tolist() == [row.get(tuple(g[:2]), [255, 255]) for g in ask.tolist()]
+    nothing, contexts = eliasfano.Trie.build(grams[:0], values[:0], 30, rows[:0]).mapped().lookup_contexts(grams)
+    assert (nothing == 255).all() and (contexts == 255).all()
+
+
+def test_lm_gains_on_held_out_texts(spark, sf):
+    """Order 3 must rate texts that it hasn't learned from above the base, and copies of learned texts far above it."""
+    rows_ = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    for held, least in ((True, 0.3), (False, 2.0)):
+        some = [r for r in rows_ if r.held_out == held]
+        assert sum(r.score - r.base_score for r in some) > least * sum(r.n_tokens for r in some)
+
+
 def test_urls(spark):
     odd = [(1, None), (2, "no scheme"), (3, "http://A.NET"), (4, "https://x.Example.net/en/5?q#f"), (5, "https://example.com/de/1"), (6, "http://notexample.com/de/"), (7, "x://org/fr/a?b"), (8, "http://h?p/q"), (9, "http://h#/x"), (None, "http://net/"), (11, "://net/é")]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
