@@ -250,7 +250,7 @@ def test_trie_contexts():
 
 
 def test_lm_gains_on_held_out_texts(spark, sf):
-    """Order 3 must rate texts that it hasn't learned from above the base, and copies of learned texts far above it."""
+    """Texts that the model hasn't learned from must score above the base, and learned texts far above it."""
     rows_ = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     for held, least in ((True, 0.3), (False, 2.0)):
         some = [r for r in rows_ if r.held_out == held]
