@@ -7,8 +7,27 @@ import tempfile
 
 import numpy as np
 
-_POP = np.array([bin(b).count("1") for b in range(256)], np.int64)
-_SELECT = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.int64)
+#: place of the r-th one of a byte b, at 8 * b + r
+_SELECT = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for b in range(256) for r in range(8)], np.uint8)
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def bytes_upto(words: np.ndarray) -> np.ndarray:
+    """In byte b of each word the number of ones in its bytes up to b."""
+    x = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    x = (x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    return x * _ONES
+
+
+def select_in_words(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each word, for k below its number of ones: all bytes' counts are compared with k at once."""
+    upto, k = bytes_upto(words), k.astype(np.uint64)
+    whole = ((((k * _ONES) | _TOPS) - upto) & _TOPS) >> np.uint64(7)
+    at = (whole * _ONES >> np.uint64(56)) << np.uint64(3)
+    left = k - (((upto << np.uint64(8)) >> at) & np.uint64(255))
+    octet = (words >> at) & np.uint64(255)
+    return at.astype(np.int64) + _SELECT[((octet << np.uint64(3)) | left).astype(np.int64)]
 
 
 class EliasFano:
@@ -33,8 +52,8 @@ class EliasFano:
         size = n + (universe >> bits) + 1
         flags = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
         flags[top] = 1
-        packed = np.packbits(flags, bitorder="little")
-        return cls(low, packed, np.concatenate([[0], np.cumsum(_POP[packed].reshape(-1, 8).sum(1))]).astype(np.int64), n, bits)
+        words = np.packbits(flags, bitorder="little").view("<u8")
+        return cls(low, words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]), n, bits)
 
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.ones]
@@ -51,36 +70,50 @@ class EliasFano:
         """Position of the k-th one or zero of the high bits."""
         count = self.ones if one else np.arange(len(self.ones)) * 64 - self.ones
         w = np.searchsorted(count, k, "right") - 1
-        left = k - count[w]
-        octets = self.high.reshape(-1, 8)[w]
-        if not one:
-            octets = 255 - octets
-        upto = np.cumsum(_POP[octets], 1)
-        b = (upto <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(b > 0, upto[rows, np.maximum(b - 1, 0)], 0)
-        return w * 64 + b * 8 + _SELECT[octets[rows, b], left]
+        words = self.high[w]
+        return w * 64 + select_in_words(words if one else ~words, k - count[w])
+
+    def _next_zero(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Position of the first zero of the high bits at or after each position, which is the k-th of all."""
+        rest = ~self.high[at >> 6] >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(rest == 0)
+        out[far] = self._select(k[far], False)
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i) << self.bits) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not less than x (n if there is none): its bucket of equal high bits, then its low bits."""
-        x = np.asarray(x, np.int64)
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first value that is not less than x, and the end of the bucket of values with x's high bits."""
         top = x >> self.bits
-        size = int(len(self.high) * 8 - self.ones[-1])  # zeros
+        size = int(len(self.high) * 64 - self.ones[-1])  # zeros
         beyond = top >= size
-        lo = np.where(top > 0, self._select(np.minimum(np.maximum(top - 1, 0), size - 1), False) - np.maximum(top - 1, 0), 0)
-        hi = self._select(np.minimum(top, size - 1), False) - np.minimum(top, size - 1)
+        top = np.minimum(top, size - 1)
+        before = np.maximum(top - 1, 0)
+        start = np.where(top > 0, self._select(before, False) + 1, 0)
+        lo, hi = start - top, self._next_zero(start, top) - top
         lo, hi = np.where(beyond, self.n, np.minimum(lo, self.n)), np.where(beyond, self.n, np.minimum(hi, self.n))
-        want = x & ((1 << self.bits) - 1)
-        while True:
-            todo = np.flatnonzero(lo < hi)
-            if not len(todo):
-                return lo
+        want, end = x & ((1 << self.bits) - 1), hi.copy()
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
             less = self._lows(mid) < want[todo]
             lo[todo[less]], hi[todo[~less]] = mid[less] + 1, mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        return lo, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value that is not less than x (n if there is none): its bucket of equal high bits, then its low bits."""
+        return self._search(np.asarray(x, np.int64))[0]
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """successor, and whether it is x itself: then it lies in the bucket of x's high bits, and only low bits remain to compare."""
+        x = np.asarray(x, np.int64)
+        i, end = self._search(x)
+        same = i < end
+        same[same] = self._lows(i[same]) == (x[same] & ((1 << self.bits) - 1))
+        return i, same
 
 
 class Trie:
@@ -123,12 +156,11 @@ class Trie:
             found = np.full(len(q), -1, np.int64)
             some = np.flatnonzero(alive[q]) if level.n else q[:0]
             if len(some):
-                x = at[q[some]] * self.width + grams[q[some], k]
-                i = level.successor(x)
-                hit = i < level.n
-                if k and hit.any():
-                    hit &= i < self.pointers[k - 1].access(np.minimum(at[q[some]] + 1, self.pointers[k - 1].n - 1))
-                hit[hit] = level.access(i[hit]) == x[hit]
+                parent = at[q[some]]
+                i, hit = level.find(parent * self.width + grams[q[some], k])
+                if k:
+                    head = np.diff(parent, prepend=-1) != 0
+                    hit &= i < self.pointers[k - 1].access(parent[head] + 1)[np.cumsum(head) - 1]
                 found[some[hit]] = i[hit]
             at = found[np.cumsum(run) - 1]
             alive = at >= 0
