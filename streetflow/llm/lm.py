@@ -97,6 +97,7 @@ def leaving(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
 
 
 def pack_words(words: list[bytes]) -> bytes:
+    """A block of words, as Words.pack makes it."""
     return squeeze(np.fromiter(map(len, words), "<i4", len(words)), np.frombuffer(b"".join(words), np.uint8))
 
 
@@ -106,13 +107,25 @@ def unpack_words(block: bytes, n: int) -> list[bytes]:
     return [body[i:j] for i, j in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def distinct(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words, each word's number among them, and each document's first word."""
-    low = T.lower_ascii(buf)
-    starts, lens, first = T.words(low, offs)
-    example, number = T.distinct(T.hash_spans(low, starts, lens))
-    raw = low.tobytes()
-    return [raw[i:j] for i, j in zip(starts[example].tolist(), (starts + lens)[example].tolist(), strict=True)], number, first
+class Words:
+    """The distinct words of texts as spans of the texts, with the end as the last one; their shards, each word's number among them, and
+    each document's first word."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, shards: int):
+        self.low, n = T.lower_ascii(buf), int(offs[-1])
+        starts, lens, self.first = T.words(self.low, offs)
+        h = T.hash_spans(self.low, starts, lens)
+        example, self.number = T.distinct(h)
+        self.low[n] = END[0]  # in the zeros that follow the texts
+        self.at, self.lens = np.append(starts[example], n), np.append(lens[example], 1)
+        h = np.append(h[example], T.hash_spans(self.low, self.at[-1:], self.lens[-1:]))
+        self.shard = (T.mix(h) % np.uint64(shards)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def pack(self, which: np.ndarray) -> bytes:
+        return squeeze(self.lens[which].astype("<i4"), T.gather(self.low, self.at[which], self.lens[which]))
 
 
 def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +134,10 @@ def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return T.distinct((u.astype(np.uint64) << np.uint64(low)) | w.astype(np.uint64), high + low)
 
 
-def shard_of(words: list[bytes], shards: int) -> np.ndarray:
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    buf = np.frombuffer(b"".join(words) + bytes(16), np.uint8)
-    return (T.hash_spans(np.ascontiguousarray(buf), np.cumsum(lens) - lens, lens, 5) % np.uint64(shards)).astype(np.int64)
-
-
 def parts(shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The shards that occur and the members of each, in order."""
-    order = np.argsort(shard, kind="stable")
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
     return shard[order][cuts[:-1]], [order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -137,17 +145,16 @@ def parts(shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 class Group:
     """A group's documents in canonical order as numbers of its distinct words; the last number is the end."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, shards: int):
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_id, self.learns = t["doc_id"].combine_chunks(), np.asarray(t["learns"])
-        self.words, number, first = distinct(*T.text_bytes(t["text"]))
-        self.words.append(END)
-        self.counts = np.diff(first) + 1
+        self.words = Words(*T.text_bytes(t["text"]), shards)
+        self.counts = np.diff(self.words.first) + 1
         self.ends = np.cumsum(self.counts)
         self.tokens = np.full(int(self.ends[-1]), len(self.words) - 1)
         keep = np.ones(len(self.tokens), bool)
         keep[self.ends - 1] = False
-        self.tokens[keep] = number
+        self.tokens[keep] = self.words.number
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
     def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,11 +179,10 @@ def build_vocabulary(docs: DataFrame, shards: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in T.chunks(batch, most=4 * T.CHUNK_BYTES):
-                words, number, first = distinct(*T.text_bytes(chunk.column(0)))
-                n = np.append(np.bincount(number, minlength=len(words)), chunk.num_rows).astype("<i8")
-                words.append(END)
-                which, members = parts(shard_of(words, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([len(m) for m in members], pa.int32()), pa.array([pack_words([words[i] for i in m.tolist()]) for m in members], pa.binary()), pa.array([squeeze(n[m]) for m in members], pa.binary())], ["shard", "n", "words", "counts"])
+                words = Words(*T.text_bytes(chunk.column(0)), shards)
+                n = np.append(np.bincount(words.number, minlength=len(words) - 1), chunk.num_rows).astype("<i8")
+                which, members = parts(words.shard)
+                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([len(m) for m in members], pa.int32()), pa.array([words.pack(m) for m in members], pa.binary()), pa.array([squeeze(n[m]) for m in members], pa.binary())], ["shard", "n", "words", "counts"])
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
@@ -207,9 +213,9 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(width, "grp")
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        g = Group(t)
-        which, members = parts(shard_of(g.words, shards))
-        return pa.table({"shard": pa.array(which.astype(np.int32)), "grp": pa.array([key[0].as_py()] * len(which), pa.int32()), "n": pa.array([len(m) for m in members], pa.int32()), "words": pa.array([pack_words([g.words[i] for i in m.tolist()]) for m in members], pa.binary())})
+        g = Group(t, shards)
+        which, members = parts(g.words.shard)
+        return pa.table({"shard": pa.array(which.astype(np.int32)), "grp": pa.array([key[0].as_py()] * len(which), pa.int32()), "n": pa.array([len(m) for m in members], pa.int32()), "words": pa.array([g.words.pack(m) for m in members], pa.binary())})
 
     def tell(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
@@ -233,7 +239,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
     def known_words(g: Group, answers: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids and counts of a group's words."""
         ids, counts = np.full(len(g.words), UNKNOWN, np.int64), np.zeros(len(g.words), np.int64)
-        which, members = parts(shard_of(g.words, shards))
+        which, members = parts(g.words.shard)
         where = dict(zip(which.tolist(), members, strict=True))
         for kind, shard, n, block in answers:
             if kind == 0:
@@ -261,7 +267,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
         return list(zip(*(t[c].to_pylist() for c in ("kind", "shard", "n", "block")), strict=True))
 
     def send(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(t)
+        g = Group(t, shards)
         ids, counts = known_words(g, rows_of(answers))
         u, v, _, b, w, n, _ = g.grams(ids)
         c = context_counts(g, ids, counts, u)
@@ -327,7 +333,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, group_mb: int = 8) ->
     gram_answers = grams.groupBy("shard").applyInArrow(leaving(look_up), answer)
 
     def rate(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g, got = Group(t), rows_of(answers)
+        g, got = Group(t, shards), rows_of(answers)
         ids, counts = known_words(g, got)
         u, v, bigram, b, w, _, trigram = g.grams(ids)
         c = context_counts(g, ids, counts, u)
