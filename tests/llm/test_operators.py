@@ -233,6 +233,22 @@ def test_elias_fano():
     assert trie.lookup(ask).tolist() == [known.get(tuple(g), 255) for g in ask.tolist()]
 
 
+def test_select_and_find():
+    """Full, single-bit and random words; values that are there and that aren't, beyond the last and in crowded buckets."""
+    rng = np.random.default_rng(18)
+    words = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) | (rng.integers(0, 2, 4000).astype(np.uint64) << np.uint64(63))
+    words[:3] = [(1 << 64) - 1, 1, 1 << 63]
+    k = (rng.random(len(words)) * np.bitwise_count(words)).astype(np.int64)
+    k[0] = 63
+    want = [[b for b in range(64) if w >> b & 1][r] for w, r in zip(words.tolist(), k.tolist(), strict=True)]
+    assert eliasfano.select_in_words(words, k).tolist() == want
+    for n, u in ((0, 5), (1, 1), (1000, 10), (1000, 10**12), (50000, 3), (5000, 5001)):
+        v = np.sort(rng.integers(0, u, n))
+        x = np.concatenate([rng.integers(0, u, 2000), v[:500], [u + 5, 3 * u]])
+        at, same = eliasfano.EliasFano.encode(v, u).find(x)
+        assert (at == np.searchsorted(v, x)).all() and (same == np.isin(x, v)).all()
+
+
 def test_trie_contexts():
     rng = np.random.default_rng(9)
     grams = np.unique(rng.integers(0, 30, (2000, 3)), axis=0)
