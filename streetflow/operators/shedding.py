@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetflow.operators.joins import small
 from streetflow.operators.trajectory import chance, latest
 from streetflow.sources.files import with_rank
+from streetflow.storage import table
 
 
 def shuffled(key: str = "oid", seed: int = 7) -> Column:
@@ -155,16 +160,78 @@ def random_subset(spark, of: int, k: int, seed: int = 7) -> DataFrame:
 
 
 def sampler_errors(items: DataFrame, k: int, every: int = 100, top: int = 20, seed: int = 7) -> DataFrame:
-    """items: (i, item), i from 0. After each `every` rows, the mean relative error with which a sample of k rows estimates the counts of
-    the `top` most frequent items: (rows, error). An experiment for streams of some thousand rows; each row counts once per step."""
-    last = F.floor(F.max("i") / every).alias("last")
-    steps = items.join(F.broadcast(items.agg(last))).withColumn("step", F.explode(F.sequence(F.floor(F.col("i") / every), F.col("last"))))
-    place = F.row_number().over(Window.partitionBy("step").orderBy(F.md5(F.concat(F.col("i").cast("string"), F.lit(f"|{seed}"))), "i"))
-    counts = steps.withColumn("taken", (place <= k).cast("int")).groupBy("step", "item").agg(F.count("*").alias("exact"), F.sum("taken").alias("taken"))
-    size = Window.partitionBy("step")
-    rated = counts.withColumn("n", F.sum("exact").over(size)).withColumn("place", F.row_number().over(size.orderBy(F.desc("exact"), "item"))).where(F.col("place") <= top)
-    error = F.abs(F.col("taken") * F.col("n") / F.least("n", F.lit(k)) - F.col("exact")) / F.col("exact")
-    return rated.groupBy(((F.col("step") + 1) * every).alias("rows")).agg(F.avg(error).alias("error"))
+    """items: (i, item), i from 0 without gaps. After each `every` rows, the mean relative error with which a sample of k rows estimates
+    the counts of the `top` most frequent items: (rows, error). The sample are the k rows of least hash up to there.
+
+    No row is repeated for later steps: an item's count and its rows in the sample are sums of their changes, and a row changes the sample
+    where it comes in and where it goes.
+    """
+    total = (items.agg(F.max("i")).first()[0] or 0) + 1
+    stream = items.select(F.floor(F.col("i") / every).alias("step"), "i", "item")
+    moves = sample_moves(stream, k, every, total, seed)
+    changes = stream.select("step", "item", F.lit(1).alias("n"), F.lit(0).alias("taken")).union(moves.select("step", "item", F.lit(0), "taken"))
+    changes = table(changes.groupBy("step", "item").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")))
+    n = F.least((F.col("step") + 1) * every, F.lit(total))
+    error = F.abs(F.col("taken") * n / F.least(n, F.lit(k)) - F.col("exact")) / F.col("exact")
+    return running_top(changes, (total - 1) // every, top).groupBy(((F.col("step") + 1) * every).alias("rows")).agg(F.avg(error).alias("error"))
+
+
+def sample_moves(stream: DataFrame, k: int, every: int, total: int, seed: int = 7) -> DataFrame:
+    """stream: (step, i, item), `every` rows a step. (step, item, taken): 1 for each row that is in the sample of k rows after a step and
+    wasn't before, -1 for each that is no longer.
+
+    A row whose hash isn't below a share of about 2 k / (rows before) hardly ever comes in. Those below, some 2 k each time that the
+    stream doubles, are sent to the driver, which checks that they hold the sample of every step, and asks for more otherwise.
+    """
+    low = F.pow(F.lit(2.0), F.length(F.bin("step")) - 1)  # the last power of two up to the step, 1 for step 0
+    slack = 2 * k + 50
+    while True:
+        share = lambda p: slack / F.least(p * every, F.lit(total))  # noqa: E731, B023
+        hashed = stream.withColumn("h", shuffled("i", seed)).withColumn("place", chance("i", seed))
+        rows = hashed.where(F.col("place") < share(low)).select("step", "i", "item", "h", "place").toArrow().sort_by([("h", "ascending"), ("i", "ascending")])
+        step, place = rows["step"].to_numpy(), rows["place"].to_numpy()
+        # from 2^j on rows have one share, and until the next power the sample's hashes only fall
+        shares = {first: slack / min(max(first, 1) * every, total) for first in [0, *(2**j for j in range(1, ((total - 1) // every).bit_length()))]}
+        if all(x >= 1 or np.count_nonzero((step <= first) & (place < x)) >= k for first, x in shares.items()):
+            break
+        slack *= 2
+    held, moves = [], []  # the sample as a heap, the greatest hash on top
+    for now in np.unique(step):
+        new = np.flatnonzero(step == now).tolist()
+        for row in new:
+            heapq.heappush(held, -row)
+        gone = {-heapq.heappop(held) for _ in range(len(held) - k)}
+        moves += [(now, row, 1) for row in new if row not in gone] + [(now, row, -1) for row in gone.difference(new)]
+    at, row, taken = (pa.array([m[c] for m in moves], pa.int64()) for c in range(3))
+    return stream.sparkSession.createDataFrame(pa.table({"step": at, "item": rows["item"].take(row), "taken": taken}))
+
+
+def running_top(changes: DataFrame, last: int, top: int, base: int = 32) -> DataFrame:
+    """changes: (step, item, n, taken), n never negative. (step, item, exact, taken): after each step up to `last`, the `top` items with the
+    largest sums of n, the lesser of equal ones first, and their sums.
+
+    Sums of units of steps, each a part of a larger one: in a unit only items can be on top that were at its begin or that come in it. So
+    no step sees more than these, and no task a whole item.
+    """
+    item, width = F.col("item"), base
+    while width <= last:
+        width *= base
+    zero = F.lit(0).cast("long")
+    lead = changes.select("item").distinct().select(zero.alias("unit"), "item", zero.alias("exact"), zero.alias("had"))
+    while width > 1:
+        width //= base
+        sums = changes.groupBy(F.floor(F.col("step") / width).alias("part"), item.alias("of")).agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+        parts = F.sequence(F.col("unit") * base, F.least(F.col("unit") * base + base - 1, F.lit(last // width)))
+        each = lead.withColumn("unit_part", F.explode(parts)).join(sums, (F.col("unit_part") == F.col("part")) & item.eqNullSafe(F.col("of")), "left")
+        n, taken = F.coalesce("n", F.lit(0)), F.coalesce("taken", F.lit(0))
+        until = Window.partitionBy("unit", "item").orderBy("unit_part").rowsBetween(Window.unboundedPreceding, 0)
+        ended = each.select(F.col("unit_part").alias("unit"), "item", n.alias("n"), taken.alias("taken"), (F.col("exact") + F.sum(n).over(until)).alias("exact"), (F.col("had") + F.sum(taken).over(until)).alias("had"))
+        if width > 1:  # back to the begin of each part
+            ended = ended.withColumn("exact", F.col("exact") - F.col("n")).withColumn("had", F.col("had") - F.col("taken"))
+        order = Window.partitionBy("unit").orderBy(F.desc("exact"), F.asc_nulls_last("item"))
+        placed = ended.where((F.col("exact") > 0) | (F.col("n") > 0)).withColumn("place", F.row_number().over(order))
+        lead = placed.where((F.col("place") <= top) | ((F.col("n") > 0) if width > 1 else F.lit(False))).select("unit", "item", "exact", "had")
+    return lead.select(F.col("unit").alias("step"), "item", "exact", F.col("had").alias("taken"))
 
 
 def sample_size(epsilon: float, delta: float) -> int:

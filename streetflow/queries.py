@@ -1137,7 +1137,7 @@ tk2 AS (SELECT step, item, row_number() OVER (PARTITION BY step ORDER BY md5(con
 ct AS (SELECT step, item, count(*) AS exact, count(*) FILTER (taken) AS taken, sum(count(*)) OVER (PARTITION BY step) AS n, row_number() OVER (PARTITION BY step ORDER BY count(*) DESC, item) AS place FROM tk2 GROUP BY step, item)
 SELECT (step + 1) * 250 AS rows, round(avg(abs(taken * n / least(n, 200) - exact) / exact), 6) AS error FROM ct WHERE place <= 20 GROUP BY step""")
 def sk13_sampler_errors(spark, d):
-    items = files.with_rank(pts(spark, d), "event_id").select((F.col("rank") - 1).alias("i"), F.col("qid").alias("item"))
+    items = files.with_rank(pts(spark, d).select("event_id", "qid"), "event_id").select((F.col("rank") - 1).alias("i"), F.col("qid").alias("item"))
     return shedding.sampler_errors(items, 200, 250).select("rows", r("error").alias("error"))
 
 

@@ -29,15 +29,16 @@ def by_event_time(points: DataFrame, period: float) -> DataFrame:
 def with_rank(points: DataFrame, *order: str) -> DataFrame:
     """rank: each row's place from 1 in the order of the whole input.
 
-    Places come from the counts of range partitions, so that no task sees more than its own partition. The partitions are written with
-    their numbers: counted and ranked apart, adaptive execution could cut the same rows in two ways.
+    Places come from the counts of range partitions, so that no task sees more than its own partition. The sorted partitions are written
+    with their numbers and their rows': counted and ranked apart, adaptive execution could cut the same rows in two ways.
     """
-    ranged = table(points.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
+    ranged = table(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place))
+    ranged = ranged.withColumn("__part", F.shiftright("__place", 33))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = ranged.withColumn("__local", local).join(F.broadcast(before), "__part")
-    return placed.withColumn("rank", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
+    local = F.col("__place").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + local).drop("__part", "__place", "__before")
 
 
 def by_arrival(points: DataFrame, rate: int, *order: str) -> DataFrame:

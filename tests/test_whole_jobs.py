@@ -1,7 +1,9 @@
 """Queries that returned less than the whole job before, against all rows of plain Python or of their own SQL without its filter."""
 
+import hashlib
 import os
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from streetflow import queries
 from streetflow.config import EngineConfig
-from streetflow.operators import sketches, trajectory, windows
+from streetflow.operators import shedding, sketches, trajectory, windows
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +82,50 @@ def test_distinct_quantiles_of_a_skewed_stream(spark):
     assert got == {0.25: (25, 24, 25, 100), 0.5: (50, 49, 50, 100), 0.75: (75, 74, 75, 100)}
     assert got == {r.share: (r.value, r.below, r.upto, r.n) for r in sketches.distinct_ranks(stream.union(stream), "k", "v", shares).collect()}
     assert sketches.quantiles(stream, "v", [0.5]).first()[0][0] > 75  # what counting each row would give
+
+
+def md5(i):
+    return hashlib.md5(f"{i}|7".encode()).hexdigest()
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for others."""
+    jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+
+@pytest.mark.parametrize("k", [3, 40, 5000])
+def test_sampler_errors_without_a_row_for_each_step(spark, k):
+    draw, every, top = random.Random(1), 10, 5
+    rows = [None if draw.random() < 0.05 else int(draw.paretovariate(0.7)) % 10**9 for _ in range(4003)]  # some often, most once
+    want, order = {}, lambda x: (x is None, x or 0)
+    for end in range(every, len(rows) + every, every):
+        n = min(end, len(rows))
+        exact, taken = Counter(rows[:n]), Counter(rows[i] for i in sorted(range(n), key=lambda i: (md5(i), i))[:k])
+        best = sorted(exact, key=lambda x: (-exact[x], order(x)))[:top]
+        want[end] = sum(abs(taken[x] * n / min(n, k) - exact[x]) / exact[x] for x in best) / len(best)
+    before = shuffled_rows(spark)
+    got = shedding.sampler_errors(spark.createDataFrame(list(enumerate(rows)), "i long, item long"), k, every, top).collect()
+    made = sum(n for stage, n in shuffled_rows(spark).items() if stage not in before)
+    assert {r.rows: r.error for r in got} == pytest.approx(want) and len(got) == 401
+    assert made < 100 * len(rows)  # a row for each later step were 200 times as many, each written more than once
+
+
+def test_sample_moves_where_hashes_fall(spark):
+    """Of the rows with the least hashes so far none is among those expected at first."""
+    every, k = 100, 5
+    falling = sorted(range(3200), key=md5, reverse=True)
+    stream = spark.createDataFrame([(n // every, i, str(i)) for n, i in enumerate(falling)], "step long, i long, item string")
+    sample, got = Counter(), shedding.sample_moves(stream, k, every, len(falling)).collect()
+    for step in range(32):
+        for r in got:
+            if r.step == step:
+                sample[r.item] += r.taken
+        assert +sample == Counter(str(i) for i in falling[: (step + 1) * every][-k:]) and min(sample.values()) >= 0
+
+
+def test_sampler_errors_of_no_rows(spark):
+    assert shedding.sampler_errors(spark.createDataFrame([], "i long, item int"), 5, 10).collect() == []
+    assert [tuple(r) for r in shedding.sampler_errors(spark.createDataFrame([(0, 3)], "i long, item int"), 5, 10).collect()] == [(10, 0.0)]
