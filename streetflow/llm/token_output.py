@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
 from streetflow.llm import tokens
-from streetflow.llm.shared import on_path, shared_dir, shuffle_partitions, tidy
+from streetflow.llm.shared import let_go, on_path, shared_dir, shuffle_partitions, tidy
 
 MAX_BITS, BLOCK, MAGIC = 16, 1024, b"CHT2"
 #: ids coded at once (a multiple of BLOCK) and blocks decoded side by side: they bound a task's memory
@@ -189,8 +189,8 @@ class Reader:
             bits = np.frombuffer(self.f.read(end - begin), np.uint8)
             yield decode(bits, marks - 8 * begin, min(self.head["tokens"] - lane * BLOCK, len(marks) * BLOCK), symbol, size)
 
-    def documents(self) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
-        """Of each run the first document that ends in it, and the crc32 and ids of all that do."""
+    def documents(self, wanted: bool = True) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+        """Of each run the first document that ends in it, and the crc32 and, if wanted, ids of all that do."""
         at = np.concatenate([[0], np.cumsum(self.per_doc)])
         done, low, crc, kept = 0, 0, 0, []  # type: ignore[var-annotated]
         for ids in self.runs():
@@ -199,11 +199,12 @@ class Reader:
             crcs, parts = [], []
             for i, j in zip((np.maximum(at[done:stop], low) - low).tolist(), (at[done + 1 : stop + 1] - low).tolist(), strict=True):
                 crcs.append(zlib.crc32(ids[i:j], crc))
-                parts.append(np.concatenate([*kept, ids[i:j]]))
+                if wanted:
+                    parts.append(np.concatenate([*kept, ids[i:j]]))
                 crc, kept = 0, []
             if stop < len(self.per_doc) and at[stop] < high:
                 rest = ids[max(int(at[stop]), low) - low :]
-                crc, kept = zlib.crc32(rest, crc), [*kept, rest]
+                crc, kept = zlib.crc32(rest, crc), [*kept, rest] if wanted else []
             yield done, crcs, parts
             done, low = stop, high
 
@@ -291,13 +292,15 @@ def read_tokens(spark: SparkSession, folder: str, written: list[tuple[str, int,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        tokens.drop()
+        let_go()
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{name}") as f:
                     r = Reader(f)
                     at = np.concatenate([[0], np.cumsum(r.per_doc)]) + start
-                    for done, crcs, parts in r.documents():
+                    for done, crcs, parts in r.documents(ids):
                         here = slice(done, done + len(crcs))
                         cols = [pa.array(r.doc_ids[here], mask=np.arange(done, done + len(crcs)) < r.head["nulls"]), pa.array(at[:-1][here]), pa.array(r.per_doc[here]), pa.array(crcs, pa.int64())]
                         if ids:

@@ -11,8 +11,10 @@ with such a string is one unit and goes to the library as it is.
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import os
+from collections.abc import Sequence
 
 import numpy as np
 import regex
@@ -20,6 +22,8 @@ import regex
 from streetflow.llm import text as T
 
 MOST_UNITS, MOST_PIECES = 3_000_000, 400_000
+#: units learnt at once: their lists and strings are gone before the next ones come, so that little is left between what stays
+LEARNT = 1 << 13
 #: fixed values: the published byte-level pre-tokenisation pattern, and the one of the lower-casing word vocabulary
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -111,7 +115,7 @@ class Encoder:
         starts = np.flatnonzero(first)
         return starts, np.diff(starts, append=n)
 
-    def ids_of(self, unit: bytes) -> list[int]:
+    def ids_of(self, unit: bytes) -> Sequence[int]:
         s = unit.decode("utf-8", "replace")
         if len(unit) >= self.shortest and any(t in unit for t in self.special):
             return self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -121,36 +125,52 @@ class Encoder:
             s = s.lower()
             if not (s.isascii() or max(s) < "Ā"):
                 return self.tokenizer.encode(s, add_special_tokens=False).ids
+        bare = s[1:] if s[:1] == " " else s
+        if bare.isascii() and bare.isalpha() and self.kind == "byte":
+            return self.ids_of_piece(s)  # letters after a blank, if any, are one piece
+        if bare.isascii() and bare[-1:] in (".", ",") and bare[:-1].isalpha() and self.kind == "byte":
+            return self.ids_of_piece(s[:-1]) + self.ids_of_piece(s[-1])
         out: list[int] = []
         for piece in self.find(s):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
-            out += ids
+            out += self.ids_of_piece(piece)
         return out
 
-    def learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+    def ids_of_piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+                shown = "Ġ" + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.table)
+            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(shown)])
+        return ids
+
+    def learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        sizes, flats = [], []
         gc.disable()  # a million small lists are made, none of them in a cycle
         try:
-            got = [self.ids_of(u) for u in units]
+            for lo in range(0, len(keys), LEARNT):
+                got = [self.ids_of(raw[i:j]) for i, j in zip(starts[lo : lo + LEARNT].tolist(), ends[lo : lo + LEARNT].tolist(), strict=True)]
+                sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+                flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes[-1].sum()))
+                flats.append(flat if flat.max(initial=0) >= 65536 else flat.astype(np.uint16))
+                if len(self.pieces) > MOST_PIECES:
+                    self.pieces = {}
         finally:
             gc.enable()
-        size = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint16 if not got or max(map(max, filter(None, got)), default=0) < 65536 else np.uint32, int(size.sum()))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         if flat.dtype != self.pool.dtype and flat.dtype == np.uint32:
             self.pool = self.pool.astype(np.uint32)
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.units + len(got) > len(self.at):
+        while self.units + len(keys) > len(self.at):
             self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
         self.pool[self.filled : self.filled + len(flat)] = flat
-        new = np.arange(self.units, self.units + len(got))
+        new = np.arange(self.units, self.units + len(keys))
         self.at[new], self.size[new] = self.filled + np.cumsum(size) - size, size
-        self.filled, self.units = self.filled + len(flat), self.units + len(got)
+        self.filled, self.units = self.filled + len(flat), self.units + len(keys)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, new)
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces = {}
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, lens = self.cut(buf, offs)
@@ -164,9 +184,8 @@ class Encoder:
         if len(self.keys):
             known = self.keys[np.minimum(where, len(self.keys) - 1)] == keys
         if not known.all():
-            miss, raw = ~known, buf.tobytes()
-            s, e = starts[example[miss]], (starts + lens)[example[miss]]
-            self.learn(keys[miss], [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+            miss = ~known
+            self.learn(keys[miss], buf.tobytes(), starts[example[miss]], (starts + lens)[example[miss]])
             where = np.searchsorted(self.keys, keys)
         slot = self.slot[where][number]
         size = self.size[slot]
@@ -186,6 +205,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def drop() -> None:
+    """Lets the worker's encoder go, for a step that encodes nothing."""
+    _ENCODERS.clear()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int, dtype=np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """Each document's ids followed by the end id, and the len+1 offsets of the documents."""
     offs = np.concatenate([[0], np.cumsum(counts + 1)])

@@ -365,6 +365,44 @@ def test_token_output(frame, docs, nothing):
     assert token_output.round_trip(nothing).count() == 0
 
 
+def test_learning_units_holds_few_of_their_lists():
+    """Beyond what the encoder keeps; 296 bytes a unit when all lists of a chunk were held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from streetflow.llm import text as T
+
+    rng, enc = random.Random(3), tokens.Encoder(tokens.default_path("byte_bpe_50k.json"))
+    texts = T.text_bytes(pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(100_000))]))
+    tracemalloc.start()
+    try:
+        enc.encode(*texts)
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert (most - kept) / enc.units < 230
+
+
+def test_documents_without_ids_hold_none():
+    ids = np.arange(5000, dtype=np.uint16) % 50
+    data = token_output.pack_file(np.arange(10), np.full(10, 500), ids, token_output.code_lengths(np.bincount(ids)))
+    import pyarrow as pa
+
+    bare, full = (list(token_output.Reader(pa.BufferReader(data)).documents(wanted)) for wanted in (False, True))
+    assert [(done, crcs) for done, crcs, _ in bare] == [(done, crcs) for done, crcs, _ in full] and not any(parts for *_, parts in bare)
+    assert sum(len(p) for *_, parts in full for p in parts) == 5000
+
+
+def test_letters_and_a_stop_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, plain = tokens.Encoder(tokens.default_path(name)), Tokenizer.from_file(tokens.default_path(name))
+        for unit in ("a", " a", " ab.", "ab,", ".", " .", " ,", "don't", " x1.", " 1a", "1", " 12,", "'s", " 's.", "é.", " Straße,", "", " ", "A.B", " A_b", " a..", "\na."):
+            assert list(enc.ids_of(unit.encode())) == plain.encode(unit, add_special_tokens=False).ids if unit.strip() or name[0] == "b" else True, (name, unit)
+
+
 def test_units_give_the_ids_of_whole_texts():
     odd = ["", "  a  b\n\n c\t\td  x\u00a0y\u3000 z  ", "it's don't <|endoftext|> x", "\n\nA\n B \n", "日本語 テスト abc", "étude École ÀÉ İstanbul ﬁ", "a b  \r\n c", "   ", "x\n", "   hi", " \x1c a\x7fb \x85 c", "!!! ###  12,345.67", "a'b 'c d' ''", "x.\ny", "e\u0301 ñ"]
     import pyarrow as pa
