@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.llm import text as T
-from streetflow.llm.shared import on_path, table, tidy
+from streetflow.llm.shared import on_path, table, tidy, tidy_driver
 
 LEXICON_ROWS, TRAIN_ROWS = 20_000, 10_000
 HEURISTICS = (("upper", 0.5), ("symbol", 0.05), ("delimiter", 0.1), ("repeat", 0.2), ("phrase", 0.3), ("shout", 0.1))
@@ -181,6 +181,24 @@ def expectation_maximisation(patterns: np.ndarray, given: np.ndarray, counts: np
     return 1 - post[0]
 
 
+def columns(doc: np.ndarray, f: np.ndarray, least: int = 3, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place of the feature in keys) of the features that occur `least` times, and these features, the keys. Beyond its
+    arguments and result it holds about a sorted copy of f."""
+    s = np.sort(f)
+    ends = np.flatnonzero(np.concatenate([s[1:] != s[:-1], np.ones(min(len(s), 1), bool)])) + 1
+    keys = s[ends[np.diff(ends, prepend=0) >= least] - 1]
+    del s, ends
+    docs, cols = [], []
+    for lo in range(0, len(f) if len(keys) else 0, step):
+        part = f[lo : lo + step]
+        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+        keep = keys[at] == part
+        docs.append(doc[lo : lo + step][keep].astype(np.int32))
+        cols.append(at[keep].astype(np.int32))
+    join = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64)
+    return join(docs), join(cols), keys
+
+
 class Scorer:
     """Logistic regression on hashed features; only features with a weight are kept."""
 
@@ -189,11 +207,10 @@ class Scorer:
 
     @classmethod
     def fit(cls, doc: np.ndarray, f: np.ndarray, target: np.ndarray, least: int = 3, steps: int = 80, l1: float = 2e-5) -> Scorer:
-        keys, col, n = np.unique(f, return_inverse=True, return_counts=True)
-        common = n >= least
-        keep = common[col]
-        doc, col = doc[keep], (np.cumsum(common) - 1)[col[keep]]
-        keys, n = keys[common], n[common]
+        return cls.fit_columns(*columns(doc, f, least), target, steps, l1)
+
+    @classmethod
+    def fit_columns(cls, doc: np.ndarray, col: np.ndarray, keys: np.ndarray, target: np.ndarray, steps: int = 80, l1: float = 2e-5) -> Scorer:
         if not len(target) or target.min(initial=1) > 0.5 or target.max(initial=0) < 0.5:
             return cls(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(target) and target.mean() > 0.5 else -20.0)
         # both answers weigh the same in all; a row counts the more, the surer its answer is
@@ -247,14 +264,20 @@ def train(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS,
     out = {}
     sample = joined.where("salt is not null").orderBy("salt").limit(2 * train_rows).toArrow()  # repeated rows are chosen together
     sizes = np.asarray(pc.list_value_length(sample["f"])).astype(np.int64)
-    doc, f = np.repeat(np.arange(sample.num_rows), sizes), np.asarray(pc.list_flatten(sample["f"])).astype(np.uint64)
+    doc, f = np.repeat(np.arange(sample.num_rows, dtype=np.int32), sizes), np.asarray(pc.list_flatten(sample["f"])).astype(np.int64, copy=False).view(np.uint64)
+    sample = sample.drop_columns(["f"])
+    tidy_driver(docs.sparkSession)
+    doc, col, kept_keys = columns(doc, f)
+    del f
     for question, labellers in LABELLERS.items():
         rows = joined.groupBy(question, f"is_{question}").count().collect()  # at most 3 * 2 ** labellers rows
         pattern, said, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         post = expectation_maximisation(pattern, said, n, labellers)
         known = {(p, s): q for p, s, q in zip(pattern.tolist(), said.tolist(), post.tolist(), strict=True)}
         target = np.array([known[p, s] for p, s in zip(sample[question].to_pylist(), sample[f"is_{question}"].to_pylist(), strict=True)])
-        out[question] = Scorer.fit(doc, f, target)
+        out[question] = Scorer.fit_columns(doc, col, kept_keys, target)
+    del doc, col
+    tidy_driver(docs.sparkSession)
     return out
 
 

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetflow.storage import forget, shared_dir, table
+from streetflow.storage import forget, shared_dir, table, trim
 
-__all__ = ["components", "forget", "group_count", "on_path", "shared_dir", "shuffle_partitions", "size_in_bytes", "stars", "table", "tidy"]
+__all__ = ["components", "forget", "group_count", "on_path", "shared_dir", "shuffle_partitions", "size_in_bytes", "stars", "table", "tidy", "tidy_driver"]
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: estimates from here on stand for an unknown size
 UNKNOWN_SIZE = 1 << 55
@@ -40,6 +40,13 @@ def let_go() -> None:
         trim(0)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """The driver lets its memory go: garbage of the JVM and what either process has freed."""
+    spark._jvm.System.gc()
+    trim(spark)
+    let_go()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after whose last batch the worker lets its memory go."""
 

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -31,6 +32,7 @@ def table(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut of the lineage that outlives any executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    trim(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._streetflow_path = path
     return out
@@ -44,6 +46,21 @@ def forget(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give the native memory that it has freed back to the machine: compiling the plans of some hundred stages
+    leaves its allocator some hundred MB. False where the JVM can't."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(beans, args)
+    except Py4JError:
+        return False
+    return True
+
+
 def file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
